@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .packing import pack_documents
+from .simhash_dedup import simhash_groups
 from .substring_dedup import substring_dedup
+from .token_store import store_and_read
+
+
+def word_vocabulary() -> str:
+    """The public vocabulary file that the contracts name."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +29,25 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_groups(table(spark, sf_dir, "documents"), shingle=3, threshold=2)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pack_documents(table(spark, sf_dir, "documents"), word_vocabulary(), end_id=2, max_tokens=4096)
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "segment", "loss_tokens")
+
+
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_and_read(table(spark, sf_dir, "documents"), word_vocabulary(), end_id=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_simhash_dedup": op2_simhash_dedup,
+    "op4_vector_packing": op4_vector_packing,
+    "op6_token_store": op6_token_store,
 }
 
 #: None of these can be put as SQL that runs on whole tables; tests/llm holds brute-force versions.
