@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ngram_model
+from .mixing import mix_sources
 from .packing import pack_documents
+from .quality_rules import quality_rules
+from .secret_scan import listed, secret_spans
 from .simhash_dedup import simhash_groups
 from .substring_dedup import substring_dedup
 from .token_store import store_and_read
@@ -34,20 +38,56 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mix_sources(table(spark, sf_dir, "documents"), repetition_limit=2.0)
+    return found.select("row.doc_id", F.col("mix_source").alias("source"), F.col("mix_tokens").alias("n_tokens"), "mix_pass", "mix_block", "mix_slot")
+
+
 def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pack_documents(table(spark, sf_dir, "documents"), word_vocabulary(), end_id=2, max_tokens=4096)
     return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "segment", "loss_tokens")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans(table(spark, sf_dir, "documents"), gap=200)
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed(F.concat("base", "linked")).alias("spans"),
+    )
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_and_read(table(spark, sf_dir, "documents"), word_vocabulary(), end_id=2)
 
 
+def remainder(column: str, of: int):
+    """CRC-32 of a number's text, modulo ``of``; 0 for null."""
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(0)) % of
+
+
+def op7_ngram_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 7) == 2
+    model = ngram_model.fit(docs.where(~held_out))
+    found = ngram_model.score(docs, model, held_out)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    return quality_rules(table(spark, sf_dir, "documents"), good)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op3_temperature_mixing": op3_temperature_mixing,
     "op4_vector_packing": op4_vector_packing,
+    "op5_secret_scan": op5_secret_scan,
     "op6_token_store": op6_token_store,
+    "op7_ngram_model": op7_ngram_model,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 #: None of these can be put as SQL that runs on whole tables; tests/llm holds brute-force versions.
