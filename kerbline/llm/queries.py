@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import ngram_model
 from .mixing import mix_sources
 from .packing import pack_documents
+from .permutation_index import nearest
 from .quality_rules import quality_rules
 from .secret_scan import listed, secret_spans
 from .simhash_dedup import simhash_groups
@@ -74,6 +75,11 @@ def op7_ngram_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op8_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").where("quality = 1")
     return quality_rules(table(spark, sf_dir, "documents"), good)
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_scan": op5_secret_scan,
     "op6_token_store": op6_token_store,
     "op7_ngram_model": op7_ngram_model,
+    "op8_permutation_index": op8_permutation_index,
     "op10_quality_rules": op10_quality_rules,
 }
 
