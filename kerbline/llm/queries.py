@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_model
+from . import ngram_model, toxicity
 from .mixing import mix_sources
 from .packing import pack_documents
 from .permutation_index import nearest
@@ -80,6 +80,15 @@ def op8_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op9_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = remainder("doc_id", 5) == 0
+    model = toxicity.fit(docs, labels.where(~held_out))
+    found = toxicity.score(docs, model)
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_toxic_tokens", spans.alias("spans"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").where("quality = 1")
     return quality_rules(table(spark, sf_dir, "documents"), good)
@@ -94,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_store": op6_token_store,
     "op7_ngram_model": op7_ngram_model,
     "op8_permutation_index": op8_permutation_index,
+    "op9_toxicity_crf": op9_toxicity_crf,
     "op10_quality_rules": op10_quality_rules,
 }
 
