@@ -18,9 +18,14 @@ from .common import WORD_SPLIT, texts_of
 SYMBOLS = r"[#*$%&|<>]"
 
 
-def _words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _words(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> DataFrame:
+    """``doc_id, text, words``, and ``row`` with all columns of ``docs`` if asked for."""
     split = F.array_remove(F.split("text", WORD_SPLIT), "")
-    return texts_of(docs, id_col, text_col).withColumn("words", split)
+    if not carry:
+        return texts_of(docs, id_col, text_col).withColumn("words", split)
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row")
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")
+    return docs.select(row, F.col(f"`{id_col}`").cast("long").alias("doc_id"), text).withColumn("words", split)
 
 
 def _grams(buckets: int):
@@ -92,14 +97,24 @@ def quality_rules(
     text has no words and fails the base rules. Rows with equal ids are judged each by
     itself; other columns are ignored; an empty table gives no rows.
     """
-    words = _words(docs, id_col, text_col)
+    return _judged(_words(docs, id_col, text_col), trusted, threshold, buckets, smoothing, trusted_rows, least_words, repeat_percent)
+
+
+def good_rows(docs: DataFrame, trusted: DataFrame, threshold: float = -0.1, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, with their own columns, that ``quality_rules`` keeps."""
+    rules = {"buckets": 16384, "smoothing": 1.0, "trusted_rows": 20_000, "least_words": 20, "repeat_percent": 30} | options
+    judged = _judged(_words(docs, id_col, text_col, carry=True), trusted, threshold, **rules)
+    return judged.where("kept").select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def _judged(words, trusted, threshold, buckets, smoothing, trusted_rows, least_words, repeat_percent):
     good = trusted.select(F.col("doc_id").cast("long")).where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted_rows)
-    weights = ratio_weights(words, good, buckets, smoothing).scalar()
+    weights = ratio_weights(words.select("doc_id", "words"), good, buckets, smoothing).scalar()
     scored = base_counts(words).withColumn("weights", weights)
     total = F.aggregate(_grams(buckets), F.lit(0.0), lambda a, b: a + F.get("weights", b))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     out = scored.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        *[c for c in words.columns if c == "row"], "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         F.when(F.col("n_words") > 0, total / (2 * F.col("n_words"))).alias("ratio"),
     )
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("ratio") >= threshold, F.lit(True)))
