@@ -104,7 +104,9 @@ def good_rows(docs: DataFrame, trusted: DataFrame, threshold: float = -0.1, id_c
     """The rows of ``docs``, with their own columns, that ``quality_rules`` keeps."""
     rules = {"buckets": 16384, "smoothing": 1.0, "trusted_rows": 20_000, "least_words": 20, "repeat_percent": 30} | options
     judged = _judged(_words(docs, id_col, text_col, carry=True), trusted, threshold, **rules)
-    return judged.where("kept").select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    # the row number keeps the optimiser from copying the verdict's long expressions into the scan's filter
+    held = judged.withColumn("turn", F.monotonically_increasing_id()).where("kept AND turn >= 0")
+    return held.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def _judged(words, trusted, threshold, buckets, smoothing, trusted_rows, least_words, repeat_percent):
