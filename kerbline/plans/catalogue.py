@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import network_queries
+from . import measure_queries, network_queries
 
-QUERIES = dict(network_queries.QUERIES)
-ORACLE = dict(network_queries.ORACLE)
+QUERIES = network_queries.QUERIES | measure_queries.QUERIES
+ORACLE = network_queries.ORACLE | measure_queries.ORACLE

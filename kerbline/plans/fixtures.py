@@ -137,4 +137,4 @@ def using(*names: str, sql: str) -> str:
         add(n)
     head = ",\n".join(f"{n} AS ({SQL[n]})" for n in order)
     sql = sql.strip()
-    return f"WITH {head},\n{sql[5:]}" if sql[:5].upper() == "WITH " else f"WITH {head}\n{sql}"
+    return f"WITH RECURSIVE {head},\n{sql[5:]}" if sql[:5].upper() == "WITH " else f"WITH {head}\n{sql}"
