@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import measure_queries, network_queries
+from . import kernel_queries, measure_queries, network_queries
 
-QUERIES = network_queries.QUERIES | measure_queries.QUERIES
+QUERIES = network_queries.QUERIES | measure_queries.QUERIES | kernel_queries.QUERIES
 ORACLE = network_queries.ORACLE | measure_queries.ORACLE
