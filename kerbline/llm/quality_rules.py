@@ -72,8 +72,8 @@ def ratio_weights(words: DataFrame, trusted: DataFrame, buckets: int, smoothing:
     every = words.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     filled = every.join(counts, "bucket", "left").select("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
     listed = filled.agg(F.array_sort(F.collect_list(F.struct("bucket", "raw", "target"))).alias("c"), F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target"))
-    share = lambda n, total: F.log((n + smoothing) / (total + smoothing * buckets))
-    ratio = F.transform("c", lambda x: share(x["target"], F.col("n_target")) - share(x["raw"], F.col("n_raw")))
+    scale = F.col("n_raw") / F.col("n_target")  # both get the same share of smoothing, so a small target isn't pulled down
+    ratio = F.transform("c", lambda x: F.log((x["target"] * scale + smoothing) / (x["raw"] + smoothing)))
     return listed.select(F.when(F.col("n_target") > 0, ratio).alias("weights"))
 
 
@@ -82,7 +82,7 @@ def quality_rules(
     trusted: DataFrame,
     threshold: float = -0.1,
     buckets: int = 16384,
-    smoothing: float = 1.0,
+    smoothing: float = 20.0,
     trusted_rows: int = 20_000,
     least_words: int = 20,
     repeat_percent: int = 30,
@@ -102,7 +102,7 @@ def quality_rules(
 
 def good_rows(docs: DataFrame, trusted: DataFrame, threshold: float = -0.1, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, with their own columns, that ``quality_rules`` keeps."""
-    rules = {"buckets": 16384, "smoothing": 1.0, "trusted_rows": 20_000, "least_words": 20, "repeat_percent": 30} | options
+    rules = {"buckets": 16384, "smoothing": 20.0, "trusted_rows": 20_000, "least_words": 20, "repeat_percent": 30} | options
     judged = _judged(_words(docs, id_col, text_col, carry=True), trusted, threshold, **rules)
     # the row number keeps the optimiser from copying the verdict's long expressions into the scan's filter
     held = judged.withColumn("turn", F.monotonically_increasing_id()).where("kept AND turn >= 0")
