@@ -40,6 +40,11 @@ def half_even(x: Column, digits: int = 0) -> Column:
     return F.rint(x * scale) / scale if digits else F.rint(x)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def lerp_quantile(ordered: Column, q: float) -> Column:
     """The linear-interpolation quantile of a sorted array of doubles; null if empty."""
     pos = (F.size(ordered) - 1) * F.lit(q)
@@ -59,12 +64,18 @@ def middle(ordered: Column) -> Column:
 def narrow_widths(widths: Column, low: float = 0.15, high: float = 0.65, least: int = 3) -> Column:
     """The widths that the narrow estimator keeps, sorted: those between two quantiles, or
     up to the upper one, or the least few, whichever first has ``least``."""
-    ordered = F.array_sort(F.filter(widths, finite))
-    q0, q1 = lerp_quantile(ordered, low), lerp_quantile(ordered, high)
-    inner = F.filter(ordered, lambda w: (w >= q0) & (w <= q1))
-    lower = F.filter(ordered, lambda w: w <= q1)
-    few = F.slice(ordered, 1, least)
-    return F.when(F.size(ordered) < least, ordered).when(F.size(inner) >= least, inner).when(F.size(lower) >= least, lower).otherwise(few)
+
+    def pick(ordered: Column) -> Column:
+        def between(q: Column) -> Column:
+            return let(F.filter(ordered, lambda w: (w >= q["low"]) & (w <= q["high"])), lambda inner: F.when(F.size(inner) >= least, inner).otherwise(below(q)))
+
+        def below(q: Column) -> Column:
+            return let(F.filter(ordered, lambda w: w <= q["high"]), lambda lower: F.when(F.size(lower) >= least, lower).otherwise(F.slice(ordered, 1, least)))
+
+        ends = F.struct(lerp_quantile(ordered, low).alias("low"), lerp_quantile(ordered, high).alias("high"))
+        return F.when(F.size(ordered) < least, ordered).otherwise(let(ends, between))
+
+    return let(F.array_sort(F.filter(widths, finite)), pick)
 
 
 def finite(x: Column) -> Column:

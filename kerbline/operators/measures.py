@@ -82,15 +82,19 @@ def neighbours(pixels: DataFrame, keys: list[str]) -> DataFrame:
 
 def concave_vertices(rings: DataFrame, threshold: float = 0.0) -> DataFrame:
     """Vertices that turn against their ring's orientation; the first is never tested."""
-    n = F.size("xs")
-    sign = F.when(E.ring_area(F.col("xs"), F.col("ys")) > 0, 1).otherwise(-1)
-    at = lambda a, i: F.get(F.col(a), (i + n) % n)
+    ring = F.struct("xs", "ys", F.when(E.ring_area(F.col("xs"), F.col("ys")) > 0, 1).otherwise(-1).alias("sign"))
 
-    def bends(i: Column) -> Column:
-        cross = (at("xs", i) - at("xs", i - 1)) * (at("ys", i + 1) - at("ys", i)) - (at("ys", i) - at("ys", i - 1)) * (at("xs", i + 1) - at("xs", i))
-        return sign * cross < -threshold
+    def found(r: Column) -> Column:
+        n = F.size(r["xs"])
+        at = lambda axis, i: F.get(r[axis], (i + n) % n)
 
-    return rings.select("ring", F.filter(F.sequence(F.lit(1), n - 1), bends).alias("concave"))
+        def bends(i: Column) -> Column:
+            cross = (at("xs", i) - at("xs", i - 1)) * (at("ys", i + 1) - at("ys", i)) - (at("ys", i) - at("ys", i - 1)) * (at("xs", i + 1) - at("xs", i))
+            return r["sign"] * cross < -threshold
+
+        return F.filter(F.sequence(F.lit(1), n - 1), bends)
+
+    return rings.select("ring", E.let(ring, found).alias("concave"))
 
 
 def quality(measured: DataFrame, key: str, width: str = "width_px") -> DataFrame:

@@ -235,7 +235,7 @@ def status_texts(spark, sf):
     return X.table(spark, sf, "orders").select(status.alias("status")).distinct().select("status", M.status_text(F.col("status")).alias("text"))
 
 
-_SHIFTS = """shifts AS (SELECT ring % 50 AS edge, CAST((ring*37 + i*53) % 97 - 48 AS DOUBLE) AS dx, CAST((ring*11 + i*29) % 89 - 44 AS DOUBLE) AS dy, 0.75 + CAST((ring + i) % 25 AS DOUBLE)/100.0 AS dot, CAST((ring*7 + i) % 240 AS DOUBLE) AS distance FROM ring_points),
+_SHIFTS = """shifts AS (SELECT ring % 50 AS edge, CAST((ring*37 + i*53) % 97 - 48 AS DOUBLE) AS dx, CAST((ring*11 + i*29) % 89 - 44 AS DOUBLE) AS dy, 0.75 + CAST((ring + i) % 25 AS DOUBLE)/100.0 AS dot, CAST((ring*7 + i) % 240 AS DOUBLE)*CAST(0.987654321 AS DOUBLE) AS distance FROM ring_points),
     cells AS (SELECT *, CAST(round_even(dx/12.0, 0) AS INT) AS kx, CAST(round_even(dy/12.0, 0) AS INT) AS ky FROM shifts),
     mids AS (SELECT edge, kx, ky, median(dx) AS mx, median(dy) AS my, count(*) AS n, avg(dot) AS dot, avg(distance) AS distance FROM cells GROUP BY 1, 2, 3),
     stds AS (SELECT c.edge, c.kx, c.ky, median(sqrt((dx-mx)*(dx-mx) + (dy-my)*(dy-my))) AS std FROM cells c JOIN mids m USING (edge, kx, ky) GROUP BY 1, 2, 3),
@@ -245,7 +245,7 @@ _SHIFTS = """shifts AS (SELECT ring % 50 AS edge, CAST((ring*37 + i*53) % 97 - 4
 def _shifts(spark, sf):
     rows = X.rings(spark, sf).select("ring", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i"))
     r, i = F.col("ring"), F.col("i")
-    return rows.select((r % 50).alias("edge"), ((r * 37 + i * 53) % 97 - 48).cast("double").alias("dx"), ((r * 11 + i * 29) % 89 - 44).cast("double").alias("dy"), (F.lit(0.75) + ((r + i) % 25).cast("double") / 100.0).alias("dot"), ((r * 7 + i) % 240).cast("double").alias("distance"))
+    return rows.select((r % 50).alias("edge"), ((r * 37 + i * 53) % 97 - 48).cast("double").alias("dx"), ((r * 11 + i * 29) % 89 - 44).cast("double").alias("dy"), (F.lit(0.75) + ((r + i) % 25).cast("double") / 100.0).alias("dot"), (((r * 7 + i) % 240).cast("double") * 0.987654321).alias("distance"))
 
 
 @query("shift_clusters", "ring_points", sql=f"WITH {_SHIFTS} SELECT edge, kx, ky, mx, my, n, round(std, 6) AS std, round(seed, 6) AS seed FROM seeds")
