@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import exprs as E
-from ..operators import stores, tiles
+from ..operators import predict, stores, tiles
 from ..sources import graph, tile_files
 from . import fixtures as X
 from .fixtures import using
@@ -415,18 +415,12 @@ def first_success(spark, sf):
         FROM ck LEFT JOIN mk ON name LIKE '%' || clean GROUP BY 1, 2""",
 )
 def key_match(spark, sf):
-    """Checkpoint keys matched to model keys: as they are without prefixes, else the first
-    model key that ends so. Suffixes of model keys make it an equi-join."""
+    """Checkpoint keys matched to model keys, made from parts and suppliers."""
     p = F.col("p_partkey")
     prefix = F.when(p % 3 == 0, "module.").when(p % 3 == 1, "model.backbone.").otherwise("")
     key = F.concat(prefix, F.lit("l"), (p % 40).cast("string"), F.lit(".w"))
-    clean = key
-    for word in ("model.", "backbone.", "module."):
-        clean = F.replace(clean, F.lit(word), F.lit(""))
-    ck = X.table(spark, sf, "part").select("p_partkey", key.alias("key"), clean.alias("clean"))
+    ck = X.table(spark, sf, "part").select("p_partkey", key.alias("key"))
     s = F.col("s_suppkey")
     name = F.concat(F.when(s % 2 == 0, "net.").otherwise(""), F.lit("l"), (s % 30).cast("string"), F.lit(".w"))
     mk = X.table(spark, sf, "supplier").select(s.alias("pos"), name.alias("name"))
-    tails = mk.select("pos", "name", F.explode(F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.substring(F.col("name"), i, F.length("name")))).alias("clean"))
-    best = tails.groupBy("clean").agg(F.min_by("name", F.struct(F.col("name") != F.col("clean"), "pos")).alias("matched"))
-    return ck.join(best, "clean", "left").select("p_partkey", "key", "matched")
+    return predict.match_keys(ck, mk).select("p_partkey", "key", "matched")
