@@ -16,8 +16,8 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Words whose ids one worker remembers; the cache is emptied beyond that.
-CACHE_WORDS = 400_000
+#: Words in one of the two generations that a worker remembers.
+CACHE_WORDS = 250_000
 
 _ODD = re.compile("[\x1c-\x1f᠎​⁠﻿]")
 #: Letters that are composed already, then ASCII marks: pieces which the library's
@@ -33,38 +33,46 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordTokenizer:
-    """``ids(text)`` as little-endian unsigned 32-bit bytes."""
+    """``ids(text)`` as little-endian unsigned 32-bit bytes.
+
+    Known words are kept in two generations: when the young one is full it becomes the old
+    one, and words met again move on, so frequent words are never forgotten.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.path = path
         self.library = Tokenizer.from_file(path)
-        self.model = self.library.model
+        self.tokenize = self.library.model.tokenize
         self.letters = _byte_letters()
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _piece(self, piece: str) -> bytes:
-        known = self.pieces.get(piece)
-        if known is None:
-            shown = piece.encode().decode("latin-1").translate(self.letters)
-            known = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
-            if len(self.pieces) >= CACHE_WORDS:
-                self.pieces.clear()
-            self.pieces[piece] = known
-        return known
-
-    def _new(self, word: str) -> bytes:
-        low = word.lower()
-        plain = _PLAIN.fullmatch(low) if len(low) == len(word) and "<|" not in word else None
-        if plain:
-            ids = self._piece(plain[1]) + (self._piece(plain[2]) if plain[2] else b"")
-        else:
-            ids = self.whole(word)
-        if len(self.words) >= CACHE_WORDS:
-            self.words.clear()
-        self.words[word] = ids
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word that isn't among the young ones."""
+        ids = self.old.get(word)
+        if ids is None:
+            low = word.lower()
+            plain = _PLAIN.fullmatch(low) if len(low) == len(word) else None
+            if plain is None or "<|" in word:
+                ids = self.whole(word)
+            else:
+                letters, marks = plain.groups()
+                if not marks and low == word:
+                    shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+                    ids = np.array([t.id for t in self.tokenize(shown)], "<u4").tobytes()
+                else:
+                    get = self.young.get
+                    ids = get(letters) or self._word(letters)
+                    if marks:
+                        ids += get(marks) or self._marks(marks)
+        if len(self.young) >= CACHE_WORDS:
+            self.old, self.young = self.young, {}
+        self.young[word] = ids
+        return ids
+
+    def _marks(self, marks: str) -> bytes:
+        self.young[marks] = ids = self.old.get(marks) or self.whole(marks)
         return ids
 
     def whole(self, text: str) -> bytes:
@@ -73,12 +81,15 @@ class WordTokenizer:
     def ids(self, text: str) -> bytes:
         if _ODD.search(text):
             return self.whole(text)
-        words = text.split()
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            get, new = self.words.get, self._new
-            return b"".join([get(w) or new(w) for w in words])
+        get, word = self.young.get, self._word
+        out = []
+        for w in text.split():
+            ids = get(w)
+            if ids is None:
+                ids = word(w)
+                get = self.young.get
+            out.append(ids)
+        return b"".join(out)
 
 
 _loaded: dict[str, WordTokenizer] = {}
