@@ -2,7 +2,8 @@
 
 Format (a folder of Parquet tables, so that any Spark file system holds it):
 
-* ``chunks``   digest (SHA-256 of the ids as little-endian 32-bit values), ids (unsigned
+* ``chunks``   packs of chunks: bucket, digests (32 bytes each: SHA-256 of the ids as
+  little-endian 32-bit values), lengths (32-bit), data (Zstandard of all their ids, unsigned
   16-bit little-endian where the vocabulary allows, else 32-bit). Each digest once.
 * ``recipes``  part, row, doc_id, n_tokens, digests, lengths, leaf; sorted by doc_id within a
   part, and parts by range: reading parts in order gives ascending doc_ids.
@@ -23,16 +24,22 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import mixed, shared_dir, slices, staged, texts_of
+from .common import fan_out, mixed, shared_dir, slices, staged, texts_of
 from .token_ids import encoded
 
 ROLL = 16
-_CUT = "doc_id long, n_tokens long, digests array<binary>, lengths array<int>, pieces array<binary>"
+#: Ids that a task gathers before it deals them out, and ids of one stored pack.
+GATHER_IDS, PACK_IDS = 8 << 20, 1 << 20
+_PACK = "bucket int, chunk_digests binary, chunk_lengths binary, data binary"
+_CUT = f"doc_id long, n_tokens long, digests array<binary>, lengths array<int>, {_PACK}"
+_PACK_ARROW = pa.schema([("bucket", pa.int32()), ("chunk_digests", pa.binary()), ("chunk_lengths", pa.binary()), ("data", pa.binary())])
+_CUT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int32())), *_PACK_ARROW])
 _RECIPE = "part int, row long, doc_id long, n_tokens long, digests array<binary>, lengths array<int>, leaf binary"
 
 
@@ -105,36 +112,83 @@ def recipe_leaf(doc_id: int | None, digests: list[bytes], lengths: list[int]) ->
     return hashlib.sha256(b"\x00" + head + b"".join(digests)).digest()
 
 
+def _packed(chunks: list[tuple[bytes, bytes]], size: int) -> tuple[bytes, bytes, bytes]:
+    data = zstandard.ZstdCompressor(3).compress(b"".join(x for _, x in chunks))
+    return b"".join(d for d, _ in chunks), np.array([len(x) // size for _, x in chunks], "<u4").tobytes(), data
+
+
+def _unpacked(row: dict, size: int):
+    """(digest, ids) of the chunks of a pack, as they are stored."""
+    data, digests = zstandard.ZstdDecompressor().decompress(row["data"]), row["chunk_digests"]
+    at = 0
+    for k, n in enumerate(np.frombuffer(row["chunk_lengths"], "<u4").tolist()):
+        yield digests[32 * k : 32 * k + 32], data[at : at + size * n]
+        at += size * n
+
+
 def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, bits: int = 8, longest: int = 4096, wide: bool = False, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Encode whole texts and write them as a store at ``path``; returns ``path``.
 
     A null or empty text is the end id alone. Equal doc_ids are kept as separate documents,
     null ids come first. An empty table gives a store without rows.
     """
-    kind = "<u4" if wide else "<u2"
+    size = 4 if wide else 2
+    buckets = fan_out(docs.sparkSession)
 
     def cut(batches):
+        """Rows of two kinds: recipes of documents, and packs of the task's distinct chunks."""
+        fresh: dict[bytes, bytes] = {}
+        held = 0
+
+        def packs():
+            dealt: dict[int, list] = {}
+            for digest, data in fresh.items():
+                dealt.setdefault(int.from_bytes(digest[:4], "little") % buckets, []).append((digest, data))
+            cols = [pa.array(c, f.type) for c, f in zip(zip(*[(k, *_packed(v, size)) for k, v in sorted(dealt.items())]), _PACK_ARROW)]
+            return pa.RecordBatch.from_arrays([*(pa.nulls(len(dealt), f.type) for f in list(_CUT_ARROW)[:4]), *cols], schema=_CUT_ARROW)
+
         for batch in batches:
             for part in slices(batch):
                 blobs = encoded(tokenizer_path, part.column("text").to_pylist(), end_id)
                 ids = np.frombuffer(b"".join(blobs), "<u4")
                 offs = np.concatenate([[0], np.cumsum([len(b) // 4 for b in blobs])]).astype(np.int64)
                 cuts = cut_points(ids, offs, bits, longest)
-                raw, small = ids.tobytes(), ids.astype(kind).tobytes()
-                size = 4 if wide else 2
-                ab = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
-                digests = [hashlib.sha256(raw[4 * a : 4 * b]).digest() for a, b in ab]
-                pieces = [small[size * a : size * b] for a, b in ab]
+                raw, small = ids.tobytes(), ids.astype("<u4" if wide else "<u2").tobytes()
+                digests = []
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                    digest = hashlib.sha256(raw[4 * a : 4 * b]).digest()
+                    digests.append(digest)
+                    if digest not in fresh:
+                        fresh[digest] = small[size * a : size * b]
+                        held += b - a
                 at = pa.array(np.searchsorted(cuts, offs), pa.int32())
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": part.column("doc_id"),
-                        "n_tokens": pa.array(np.diff(offs), pa.int64()),
-                        "digests": pa.ListArray.from_arrays(at, pa.array(digests, pa.binary())),
-                        "lengths": pa.ListArray.from_arrays(at, pa.array(np.diff(cuts), pa.int32())),
-                        "pieces": pa.ListArray.from_arrays(at, pa.array(pieces, pa.binary())),
-                    }
-                )
+                n = part.num_rows
+                rows = [part.column("doc_id"), pa.array(np.diff(offs), pa.int64()), pa.ListArray.from_arrays(at, pa.array(digests, pa.binary())), pa.ListArray.from_arrays(at, pa.array(np.diff(cuts), pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*rows, *(pa.nulls(n, f.type) for f in _PACK_ARROW)], schema=_CUT_ARROW)
+                if held >= GATHER_IDS:
+                    yield packs()
+                    fresh.clear()
+                    held = 0
+        if fresh:
+            yield packs()
+
+    def unique(rows: pa.Table) -> pa.Table:
+        """A bucket's packs with each digest once, in packs of bounded size."""
+        found: dict[bytes, bytes] = {}
+        for r in rows.to_pylist():
+            for digest, data in _unpacked(r, size):
+                found.setdefault(digest, data)
+        out, part, held = [], [], 0
+        for item in sorted(found.items()):
+            part.append(item)
+            held += len(item[1]) // size
+            if held >= PACK_IDS:
+                out.append(part)
+                part, held = [], 0
+        out += [part] if part else []
+        bucket = rows.column("bucket")[0].as_py()
+        cols = zip(*[(bucket, *_packed(x, size)) for x in out])
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _PACK_ARROW)], schema=_PACK_ARROW)
 
     def numbered(batches):
         part, row = TaskContext.get().partitionId(), 0
@@ -148,10 +202,10 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2
     cutted = staged(texts_of(docs, id_col, text_col).mapInArrow(cut, _CUT), "store-cut")
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    recipes = cutted.select("doc_id", "n_tokens", "digests", "lengths").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "digests")
+    recipes = cutted.where("bucket IS NULL").select("doc_id", "n_tokens", "digests", "lengths").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "digests")
     recipes.mapInArrow(numbered, _RECIPE).write.option("compression", "zstd").parquet(f"{path}/recipes")
-    chunks = cutted.select(F.explode(F.arrays_zip("digests", "pieces")).alias("c")).select(F.col("c.digests").alias("digest"), F.col("c.pieces").alias("ids"))
-    chunks.dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
+    packs = cutted.where("bucket IS NOT NULL").select(*_PACK_ARROW.names)
+    packs.groupBy("bucket").applyInArrow(unique, _PACK).write.parquet(f"{path}/chunks")
     _manifest(spark, path).write.parquet(f"{path}/manifest")
     return path
 
@@ -187,13 +241,19 @@ def read_store(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
     All are derived from what is read: ``verified`` holds if the document's chunks are
     there with their digests and lengths, and its recipe gives its leaf.
     """
-    kind = "<u4" if wide else "<u2"
+    size, kind = (4, "<u4") if wide else (2, "<u2")
 
     def sums(batches):
         for b in batches:
-            ids = [np.frombuffer(x, kind).astype("<u4").tobytes() for x in b.column("ids").to_pylist()]
-            same = [hashlib.sha256(x).digest() == d for x, d in zip(ids, b.column("digest").to_pylist())]
-            yield pa.RecordBatch.from_pydict({"digest": b.column("digest"), "crc": pa.array([zlib.crc32(x) for x in ids], pa.int64()), "found": pa.array([len(x) // 4 for x in ids], pa.int64()), "same": pa.array(same, pa.bool_())})
+            for row in b.to_pylist():
+                digests, crcs, found, same = [], [], [], []
+                for digest, data in _unpacked(row, size):
+                    ids = np.frombuffer(data, kind).astype("<u4").tobytes()
+                    digests.append(digest)
+                    crcs.append(zlib.crc32(ids))
+                    found.append(len(ids) // 4)
+                    same.append(hashlib.sha256(ids).digest() == digest)
+                yield pa.RecordBatch.from_pydict({"digest": pa.array(digests, pa.binary()), "crc": pa.array(crcs, pa.int64()), "found": pa.array(found, pa.int64()), "same": pa.array(same, pa.bool_())})
 
     def entries(batches):
         for b in batches:
@@ -214,7 +274,7 @@ def read_store(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"part": b.column("part"), "row": b.column("row"), "crc": pa.array(crc, pa.int64()), "length": b.column("length"), "ok": b.column("ok")})
 
     recipes = spark.read.schema(_RECIPE).parquet(f"{path}/recipes")
-    chunks = spark.read.parquet(f"{path}/chunks").mapInArrow(sums, "digest binary, crc long, found long, same boolean")
+    chunks = spark.read.schema(_PACK).parquet(f"{path}/chunks").mapInArrow(sums, "digest binary, crc long, found long, same boolean")
     parts = recipes.mapInArrow(entries, "part int, row long, digest binary, length long, after long, leaf_ok boolean")
     met = parts.join(chunks, "digest", "left").select("part", "row", F.coalesce("crc", F.lit(0)).alias("crc"), "length", "after", (F.coalesce("same", F.lit(False)) & (F.col("found") == F.col("length")) & F.col("leaf_ok")).alias("ok"))
     docs = met.mapInArrow(shift, "part int, row long, crc long, length long, ok boolean").groupBy("part", "row").agg(F.bit_xor("crc").alias("ids_crc32"), F.sum("length").alias("n_tokens"), F.bool_and("ok").alias("verified"))
