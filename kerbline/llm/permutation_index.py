@@ -37,16 +37,11 @@ def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return x, unit / np.sqrt((unit * unit).sum(1, keepdims=True))
 
 
-def usable(vectors: DataFrame, id_col: str, vector_col: str, dim: int | None) -> DataFrame:
-    """``vec_id, vector``: rows that can take part, as arrays of double of equal length."""
-    v = F.col(vector_col).cast("array<double>")
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("vector")).where("vec_id IS NOT NULL")
+def _complete(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """``vec_id, vector`` (doubles) of rows with an id whose vector is finite and not zero."""
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0.0)
-    rows = rows.where(F.col("vector").isNotNull() & fine)
-    if dim is None:
-        first = rows.agg(F.min_by(F.size("vector"), "vec_id").alias("n")).first()
-        dim = first["n"] or 0
-    return rows.where(F.size("vector") == dim)
+    return rows.where("vec_id IS NOT NULL AND vector IS NOT NULL").where(fine)
 
 
 def pivots_of(rows: DataFrame, n: int, seed: int) -> np.ndarray:
@@ -154,8 +149,11 @@ def nearest(
     A query isn't its own neighbour: rows with its id are left out. Of rows that share an
     id each may be found; equal scores go to the smaller id. Empty tables give no rows.
     """
-    rows = usable(vectors, id_col, vector_col, dim)
-    asked = rows if queries is None else usable(queries, id_col, vector_col, dim)
+    rows = _complete(vectors, id_col, vector_col)
+    if dim is None:
+        dim = rows.agg(F.min_by(F.size("vector"), "vec_id")).first()[0] or 0
+    asked = (rows if queries is None else _complete(queries, id_col, vector_col)).where(F.size("vector") == dim)
+    rows = rows.where(F.size("vector") == dim)
     points = pivots_of(rows, pivots, seed)
     index = staged(rows.mapInArrow(_blocks(points, listed), _BLOCK), "permutation-index")
     # each group of queries meets each block: a stated query set against all rows, in blocks
