@@ -206,4 +206,5 @@ def keep_one_of_each(docs: DataFrame, shingle: int = 3, threshold: int = 2, id_c
     """
     found = staged(simhash_groups(docs, shingle, threshold, None, id_col, text_col), "simhash-groups")
     drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(drop, id_col, "left_anti")
+    # sorted and merged at every size: the ids to drop grow with the input, so they aren't sent around
+    return docs.join(drop.hint("merge"), id_col, "left_anti").select(*docs.columns)
