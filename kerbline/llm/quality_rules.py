@@ -95,7 +95,9 @@ def quality_rules(
     with the least hashes, are the target; the raw multinomial is counted over all rows.
     Without any trusted row the ratio is null and only base rules decide. A null or empty
     text has no words and fails the base rules. Rows with equal ids are judged each by
-    itself; other columns are ignored; an empty table gives no rows.
+    itself; other columns are ignored; an empty table gives no rows. Filter by the verdict
+    with ``good_rows``, or on a written table: pushed into this plan, such a filter copies
+    the long expressions many times over.
     """
     return _judged(_words(docs, id_col, text_col), trusted, threshold, buckets, smoothing, trusted_rows, least_words, repeat_percent)
 
