@@ -1,0 +1,153 @@
+"""Near-duplicate groups by exact Jaccard similarity of word shingles.
+
+Every distinct text gets MinHash values in bands of four; texts that agree in a band are
+candidates, and a candidate becomes a link only by the exact similarity of its two shingle
+sets. At a similarity of 0.8 a pair agrees in none of the 20 bands with a chance of 3e-5.
+The candidates come in two rounds: first each text with the least of its band, then only
+pairs that the first round's links leave in different components, so a family of many
+near copies isn't compared pair by pair. Equal texts are one node throughout.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .common import column_bytes, gram_hashes, mixed, slices, staged, texts_of, word_hashes, word_spans
+from .components import components
+
+BANDS, BAND_ROWS = 20, 4
+_FACTOR = 0x9E6C63D0876A9A47
+_rng = np.random.default_rng(20250311)
+_KEYS = _rng.integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64)
+_ODD = _rng.integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _shingles(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of each text, repeats and all, and the first of each row.
+
+    ASCII letters are lowered; fewer words than a shingle are one shingle; no word gives none.
+    """
+    raw, offs = column_bytes(column)
+    raw = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
+    st, en, woff = word_spans(raw, offs)
+    words, n = word_hashes(raw, st, en), np.diff(woff)
+    counts = np.where(n < shingle, np.minimum(n, 1), n - shingle + 1)
+    cuts = np.concatenate([[0], np.cumsum(counts)])
+    at = np.arange(cuts[-1]) + np.repeat(woff[:-1] - cuts[:-1], counts)
+    short = np.repeat(n < shingle, counts)
+    out = np.zeros(len(at), np.uint64)
+    out[~short] = gram_hashes(words, at[~short], shingle, _FACTOR)
+    for k in np.unique(n[(n > 0) & (n < shingle)]).tolist():  # hashed with their length
+        some = short & (np.repeat(n, counts) == k)
+        out[some] = mixed(gram_hashes(words, at[some], k, _FACTOR) + np.uint64(k))
+    return out, cuts
+
+
+def band_keys(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """A row of band values for each run of hashes; all runs without a hash agree."""
+    out = np.zeros((len(cuts) - 1, BANDS), np.uint64)
+    full = np.flatnonzero(np.diff(cuts))
+    if not len(full):
+        return out
+    for i in range(BANDS * BAND_ROWS):
+        least = np.minimum.reduceat((hashes ^ _KEYS[i]) * _ODD[i], cuts[full])
+        out[full, i // BAND_ROWS] = mixed(out[full, i // BAND_ROWS] + least)
+    return mixed(out + np.arange(1, BANDS + 1, dtype=np.uint64))
+
+
+def _printed(shingle: int):
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                keys = [xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in part.column("text").cast(pa.binary()).to_pylist()]
+                bands = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(*_shingles(part.column("text"), shingle)).view(np.int64).ravel()), BANDS)
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "same": pa.array(keys, pa.binary()), "bands": bands.cast(pa.list_(pa.int64()))})
+
+    return run
+
+
+def _sets(shingle: int):
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                hashes, cuts = _shingles(part.column("text"), shingle)
+                sets = [np.unique(hashes[a:b]).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+                yield pa.RecordBatch.from_pydict({"node": part.column("doc_id"), "set": pa.array(sets, pa.binary())})
+
+    return run
+
+
+def similar(a: bytes, b: bytes, similarity: float) -> bool:
+    """Whether two sorted sets of hashes have that Jaccard similarity; empty ones are equal."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if min(len(x), len(y)) + 1e-9 < similarity * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both + 1e-9 >= similarity * (len(x) + len(y) - both)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs ``u, v`` whose texts are similar, from the texts of just these nodes."""
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    sets = staged(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(shingle), "node long, set binary"), "jaccard-sets")
+    left, right = (sets.select(F.col("node").alias(k), F.col("set").alias(f"{k}_set")) for k in ("u", "v"))
+
+    def run(batches):
+        for batch in batches:
+            mask = [similar(a, b, similarity) for a, b in zip(batch.column("u_set").to_pylist(), batch.column("v_set").to_pylist())]
+            yield batch.select(["u", "v"]).filter(pa.array(mask, pa.bool_()))
+
+    return staged(pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").select("u", "v", "u_set", "v_set").mapInArrow(run, "u long, v long"), "jaccard-links")
+
+
+def jaccard_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, component_id``: the least id reachable over pairs of texts whose sets of
+    ``shingle`` words have a Jaccard similarity of at least ``similarity``.
+
+    Ids must be unique and not null. Texts without a word are equal; an empty table gives
+    no rows; other columns are ignored.
+    """
+    texts = texts_of(docs, id_col, text_col)
+    prints = staged(texts.mapInArrow(_printed(shingle), "doc_id long, same binary, bands array<long>"), "jaccard-prints")
+    nodes = staged(prints.groupBy("same").agg(F.min("doc_id").alias("node")), "jaccard-nodes")
+    banded = prints.join(nodes.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
+    banded = banded.select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
+    w = Window.partitionBy("band")
+    met = staged(banded.select("node", "band", F.min("node").over(w).alias("least"), F.max("node").over(w).alias("most")).where("least < most").select("node", "band", "least"), "jaccard-met")
+    first = staged(met.where("node > least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct(), "jaccard-first")
+    links = _verified(first, texts, shingle, similarity)
+    roots = components(links)
+    rooted = met.select("node", "band").join(roots.hint("merge"), "node", "left").select("node", "band", F.coalesce("root", "node").alias("root"))
+    rooted = rooted.select("*", F.min("root").over(w).alias("low"), F.max("root").over(w).alias("high")).where("low < high")
+    rooted = staged(rooted.select("node", "band", "root"), "jaccard-apart")
+    u, v = (rooted.select("band", F.col("node").alias(k), F.col("root").alias(f"{k}_root")) for k in ("u", "v"))
+    apart = u.join(v.hint("merge"), "band").where("u > v AND u_root <> v_root").select("u", "v").distinct()
+    second = staged(apart.join(first.hint("merge"), ["u", "v"], "left_anti"), "jaccard-second")
+    links = links.union(_verified(second, texts, shingle, similarity))
+    roots = components(links)
+    named = staged(nodes.join(roots.hint("merge"), "node", "left").select("same", F.coalesce("root", "node").alias("component_id")), "jaccard-named")
+    return prints.join(named.hint("merge"), "same").select("doc_id", "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` of each near-duplicate group: that of the least id, nulls last.
+
+    Rows count each by itself, also those with equal or null ids.
+    """
+    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "jaccard-rows")
+    groups = jaccard_groups(rows, shingle, similarity, "_row", text_col)
+    return least_of_each(rows, groups.select(F.col("doc_id").alias("_row"), "component_id"), id_col).select(*docs.columns)
+
+
+def least_of_each(rows: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
+    """The ``rows``, numbered by ``_row``, but those that aren't the least id of their group."""
+    keyed = rows.select("_row", F.col(id_col).cast("long").alias("id")).join(groups.hint("merge"), "_row")
+    first = Window.partitionBy("component_id").orderBy(F.col("id").asc_nulls_last(), "_row")
+    drop = staged(keyed.select("_row", F.row_number().over(first).alias("n")).where("n > 1").select("_row"), "dropped-rows")
+    # sorted and merged at every size: the rows to drop grow with the input, so they aren't sent around
+    return rows.join(drop.hint("merge"), "_row", "left_anti")
