@@ -28,8 +28,10 @@ _ROLE = {"assign": "secret", "access": "identifier", "hex": "secret", "identifie
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_IDENTIFIER = re.compile(r"""(?<![A-Za-z0-9_])(?:access_?key(?:_?id)?|client_?id|account_?id|user(?:_?name)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,}""", re.I | re.A)
-_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,39}[0-9])[A-Za-z0-9+/_-]{20,}={0,2}")
+#: A name may carry a prefix that ends in a sign or where a capital follows: db_user, dbUser.
+_IDENTIFIER = re.compile(r"""(?:(?<![A-Za-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z])))(?:(access_?key)|access_?key_?(?:id|name)|client_?id|account_?(?:id|name)|user(?:[_\x20]?(?:name|id))?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._+-]{3,})""", re.I | re.A)
+#: A whole run with a digit; a '=' before it must end a key name (KEY=value), not be padding.
+_SECRET = re.compile(r"""(?:(?<![A-Za-z0-9+/_=-])|(?<=[A-Za-z0-9_"'\])\x20:]=))(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}={0,2}""")
 _ENDPOINT = re.compile(r"(?:https?|ftp|s3|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|jdbc:[a-z0-9]+)://[^\s\"'<>]+", re.I | re.A)
 _BLANK = re.compile(r"\n[\x20\t\r]*\n")
 
@@ -47,12 +49,15 @@ def candidate_spans(text: str) -> list[tuple[int, int, int]]:
         out += [(1, *m.span()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [(2, *m.span()) for m in _HEX.finditer(text)]
     weak = [(5, *m.span()) for m in _ENDPOINT.finditer(text)] if "://" in text else []
+    secrets = [m.span() for m in _SECRET.finditer(text) if re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0])]
     if ":" in text or "=" in text:
-        weak += [(3, *m.span()) for m in _IDENTIFIER.finditer(text)]
-    weak += [(4, *m.span()) for m in _SECRET.finditer(text) if re.search("[a-z]", m[0]) and re.search("[A-Z]", m[0])]
+        begun = {a for a, _ in secrets}  # what a bare access key names may be the secret itself
+        weak += [(3, *m.span()) for m in _IDENTIFIER.finditer(text) if not (m[1] and m.start(2) in begun)]
+    weak += [(4, a, b) for a, b in secrets]
     taken = list(out)
-    for kind, a, b in weak:  # a part that lies in another span is no part of its own
-        if not any(a < y and x < b for _, x, y in taken):
+    for kind, a, b in weak:  # a part that lies in another span is no part of its own, but for a secret that an endpoint carries
+        carried = kind == 4 and (text[a - 1 : a] == "=" or text[a - 1 : a] == ":" and text[b : b + 1] == "@")
+        if not any(a < y and x < b for k, x, y in taken if not (carried and k == 5)):
             taken.append((kind, a, b))
     return sorted(taken, key=lambda x: (x[1], x[0]))
 
