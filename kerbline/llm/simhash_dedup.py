@@ -197,14 +197,3 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, threshold: int = 2, blocks
     lows = staged(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-lows")
     named = staged(rooted.join(lows, "root").select("fingerprint", "component_id"), "simhash-named")
     return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
-
-
-def keep_one_of_each(docs: DataFrame, shingle: int = 3, threshold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the least of their near-duplicate group.
-
-    Of rows that share that id, all stay that have it; rows with a null id all stay.
-    """
-    found = staged(simhash_groups(docs, shingle, threshold, None, id_col, text_col), "simhash-groups")
-    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    # sorted and merged at every size: the ids to drop grow with the input, so they aren't sent around
-    return docs.join(drop.hint("merge"), id_col, "left_anti").select(*docs.columns)

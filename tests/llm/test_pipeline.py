@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-import xxhash
+from plain_versions import least_of_group
 
 import corpus_pipeline
 from kerbline.llm import mixing, quality_rules, secret_scan
@@ -29,13 +29,6 @@ def rows(df):
     return {r["doc_id"]: r for r in df.collect()}
 
 
-def plain_print(text):
-    w = text.encode().lower().split()
-    grams = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
-    h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-
 def test_columns(stages):
     assert all(s.columns == stages[0].columns for s in stages[1:5])
 
@@ -50,22 +43,9 @@ def test_quality_stage(spark, sf_dir, stages):
 
 
 def test_near_duplicate_stage(stages):
-    before = rows(stages[1])
-    prints = {k: plain_print(r["text"]) for k, r in before.items()}
-    group = {k: k for k in before}
-
-    def find(k):
-        while group[k] != k:
-            k = group[k]
-        return k
-
-    ids = sorted(before)
-    for i, a in enumerate(ids):
-        for b in ids[:i]:
-            if (prints[a] ^ prints[b]).bit_count() <= 2:
-                x, y = sorted((find(a), find(b)))
-                group[y] = x
-    assert set(rows(stages[2])) == {k for k in ids if find(k) == k}
+    before = sorted(rows(stages[1]).values(), key=lambda r: r["doc_id"])
+    root = least_of_group([r["text"] for r in before])
+    assert set(rows(stages[2])) == {r["doc_id"] for i, r in enumerate(before) if root[i] == i}
 
 
 def test_secret_stage(stages):
