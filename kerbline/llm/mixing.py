@@ -10,6 +10,7 @@ by a hash, so a hot source is spread over its blocks and nothing is sorted as a
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,57 +18,64 @@ from pyspark.sql.window import Window
 
 from .common import WORD_SPLIT, staged
 
-#: Sources whose totals the driver holds; more is an error, so what is broadcast is bounded.
-MAX_SOURCES = 10_000
+#: Sources up to which their plan, a short row each, is sent to every task; a plan of more is
+#: joined by shuffles instead.
+SENT_SOURCES = 10_000
 BLOCK_ROWS = 256
 
 
-def tempered(shares: list[float], exponent: float) -> list[float]:
-    raised = [s**exponent for s in shares]
-    return [r / sum(raised) for r in raised]
-
-
-def entropy(weights: list[float]) -> float:
-    return -sum(w * math.log(w) for w in weights if w > 0)
-
-
-def most_repeated(shares: list[float], exponent: float) -> float:
-    """Passes over the most repeated source when the least repeated one is seen once."""
-    passes = [w / s for w, s in zip(tempered(shares, exponent), shares)]
-    return max(passes) / min(passes)
-
-
-def bisected(shares: list[float], target_entropy: float | None, repetition_limit: float | None) -> float:
-    """The least exponent in [0, 1] (1: natural shares, 0: equal weights) that holds the
-    repetition limit and whose entropy is no more than the target."""
-
-    def fine(x: float) -> bool:
-        most = repetition_limit is None or most_repeated(shares, x) <= repetition_limit
-        return most and (target_entropy is None or entropy(tempered(shares, x)) <= target_entropy)
-
-    if fine(0.0):
+def least_fine(fine: Callable[[list[float]], list[bool]], tries: int = 1) -> float:
+    """The least exponent in [0, 1] (0: equal weights, 1: natural shares) from which on
+    ``fine`` holds, 1 if it never does. Each round divides the bracket at ``tries`` places."""
+    if fine([0.0])[0]:
         return 0.0
     low, high = 0.0, 1.0
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (low, mid) if fine(mid) else (mid, high)
+    while high - low > 1e-15:
+        at = [low + (high - low) * (i + 1) / (tries + 1) for i in range(tries)]
+        if not low < at[0] <= at[-1] < high:
+            break
+        first = (fine(at) + [True]).index(True)
+        low, high = ([low] + at)[first], (at + [high])[first]
     return high
 
 
-def source_plan(sized: DataFrame, budget: int | None, target_entropy: float | None, repetition_limit: float | None) -> list[tuple]:
-    """(source, tokens, rows, weight, passes) of each source; passes may be a fraction."""
-    totals = sized.groupBy("mix_source").agg(F.sum("mix_tokens").alias("tokens"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"over {MAX_SOURCES} sources")
-    totals = sorted((r["mix_source"], r["tokens"], r["n"]) for r in totals)
-    if not totals:
-        return []
-    all_tokens = sum(t for _, t, _ in totals)
-    shares = [t / all_tokens for _, t, _ in totals]
-    weights = tempered(shares, bisected(shares, target_entropy, repetition_limit))
-    least = min(w / s for w, s in zip(weights, shares))
-    tokens = all_tokens / least if budget is None else budget
-    return [(s, t, n, w, round(w * tokens / t, 9)) for (s, t, n), w in zip(totals, weights)]
+def entropies(shares: DataFrame, exponents: list[float]) -> list[float]:
+    """The entropy of the tempered ``share`` column at each exponent, in one aggregate."""
+    tried = shares.select(F.log("share").alias("log"), F.posexplode(F.array(*[F.lit(x) for x in exponents])).alias("i", "x"))
+    power = F.col("x") * F.col("log")
+    sums = tried.groupBy("i").agg(F.sum(F.exp(power)).alias("z"), F.sum(F.exp(power) * power).alias("s"))
+    found = {r["i"]: math.log(r["z"]) - r["s"] / r["z"] for r in sums.collect()}  # a row an exponent
+    return [found[i] for i in range(len(exponents))]
+
+
+def exponent(shares: DataFrame, spread: float, target_entropy: float | None, repetition_limit: float | None) -> float:
+    """The least exponent that holds the repetition limit and whose entropy is no more than
+    the target. ``spread``: the log of the greatest share over the least; between these two
+    sources the passes differ most, by the factor exp(spread * (1 - exponent))."""
+    low = 0.0
+    if repetition_limit is not None:
+        low = least_fine(lambda at: [spread * (1 - x) <= math.log(repetition_limit) for x in at])
+    if target_entropy is not None:
+        low = max(low, least_fine(lambda at: [e <= target_entropy for e in entropies(shares, at)], 31))
+    return low
+
+
+def source_plan(sized: DataFrame, budget: int | None, target_entropy: float | None, repetition_limit: float | None) -> tuple[DataFrame, int]:
+    """``mix_source, source_tokens, passes, blocks`` of each source, and their number; passes
+    may be a fraction. The totals stay a table; the driver gets sums over it."""
+    totals = staged(sized.groupBy("mix_source").agg(F.sum("mix_tokens").alias("source_tokens"), F.count("*").alias("rows")), "mix-sources")
+    n, whole, least, most = totals.agg(F.count("*"), F.sum("source_tokens"), F.min("source_tokens"), F.max("source_tokens")).first()
+    if not n:
+        return totals.select("mix_source", "source_tokens", F.lit(0.0).alias("passes"), F.lit(1).alias("blocks")), 0
+    shares = totals.withColumn("share", F.col("source_tokens") / F.lit(whole))
+    x = exponent(shares, math.log(most / least), target_entropy, repetition_limit)
+    raised = F.pow("share", F.lit(x))
+    if budget is None:  # the largest source, whose part is the least, is used once
+        passes = F.pow(F.col("share") / F.lit(most / whole), F.lit(x - 1))
+    else:
+        passes = raised / shares.agg(F.sum(raised)).first()[0] * F.lit(float(budget)) / F.col("source_tokens")
+    blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
+    return shares.select("mix_source", "source_tokens", F.round(passes, 9).alias("passes"), blocks.alias("blocks")), n
 
 
 def mix_sources(
@@ -90,7 +98,6 @@ def mix_sources(
     is used if at least half of it lies within. A null source is the source "". Rows
     with equal or null ids are separate. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     words = F.size(F.array_remove(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), WORD_SPLIT), ""))
     sized = docs.select(
         F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("row"),
@@ -98,9 +105,9 @@ def mix_sources(
         (words + 1).cast("long").alias("mix_tokens"),
         F.xxhash64(F.col(id_col).cast("long"), F.lit(seed)).alias("mix_key"),
     )
-    rows = source_plan(sized, budget, target_entropy, repetition_limit)
-    plan = spark.createDataFrame([(s, t, n, p, max(1, -(-n // BLOCK_ROWS))) for s, t, n, _, p in rows], "mix_source string, source_tokens long, source_rows long, passes double, blocks int")
-    placed = sized.join(F.broadcast(plan), "mix_source").withColumn("mix_block", F.pmod("mix_key", "blocks").cast("int"))  # plan: MAX_SOURCES rows at most
+    plan, n_sources = source_plan(sized, budget, target_entropy, repetition_limit)
+    plan = F.broadcast(plan) if n_sources <= SENT_SOURCES else plan.hint("merge")
+    placed = sized.join(plan, "mix_source").withColumn("mix_block", F.pmod("mix_key", "blocks").cast("int"))
     totals = staged(placed.groupBy("mix_source", "source_tokens", "passes", "mix_block").agg(F.sum("mix_tokens").alias("block_tokens")), "mix-blocks")
     turns = totals.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil("passes"), F.lit(1)).cast("int") - 1)).alias("mix_pass"))
     order = Window.partitionBy("mix_source", "mix_pass").orderBy(F.xxhash64("mix_source", "mix_block", "mix_pass", F.lit(seed)), "mix_block")

@@ -1,5 +1,6 @@
 """Brute-force versions that several tests share."""
 
+import math
 from fractions import Fraction
 
 
@@ -24,3 +25,18 @@ def least_of_group(texts):
                 x, y = sorted((find(i), find(j)))
                 root[y] = x
     return [find(i) for i in range(len(sets))]
+
+
+def tempered(shares, exponent):
+    raised = [s**exponent for s in shares]
+    return [r / sum(raised) for r in raised]
+
+
+def entropy(weights):
+    return -sum(w * math.log(w) for w in weights if w > 0)
+
+
+def most_repeated(shares, exponent):
+    """Passes over the most repeated source when the least repeated one is seen once."""
+    passes = [w / s for w, s in zip(tempered(shares, exponent), shares)]
+    return max(passes) / min(passes)

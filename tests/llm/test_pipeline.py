@@ -1,11 +1,12 @@
 """The pipeline against plain versions of its stages, each on what the one before kept."""
 
+import math
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from plain_versions import least_of_group
+from plain_versions import least_of_group, most_repeated
 
 import corpus_pipeline
 from kerbline.llm import mixing, quality_rules, secret_scan
@@ -66,7 +67,8 @@ def test_mixing_stage(stages):
     for r in before.values():
         tokens[r["source"]] += len(r["text"].split()) + 1
     shares = [t / sum(tokens.values()) for t in tokens.values()]
-    assert mixing.most_repeated(shares, mixing.bisected(shares, None, 1.5)) <= 1.5 + 1e-9
+    x = mixing.exponent(None, math.log(max(shares) / min(shares)), None, 1.5)
+    assert most_repeated(shares, x) <= 1.5 + 1e-9
     assert max(used.values()) <= 2
 
 
