@@ -11,6 +11,7 @@ rows for every query, so blocks and query groups are independent tasks of bounde
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ from .common import staged
 
 BLOCK_ROWS = 8192
 QUERY_ROWS = 512
+_FOUND = "query_id long, rank int, vec_id long, score double"
 _BLOCK = "block long, ids binary, vectors binary, rows binary, places binary, cuts binary"
 
 
@@ -136,7 +138,6 @@ def nearest(
     share: float = 0.08,
     least: int = 256,
     seed: int = 3,
-    dim: int | None = None,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
@@ -144,16 +145,22 @@ def nearest(
 
     ``queries`` (default: all vectors) has the same columns. Pivots are a sample of at most
     ``pivots`` rows; every row is indexed. Each block reranks its nearest ``share`` of rows,
-    ``least`` at least. Rows with a null id, or a vector that is null, zero, of another
-    length than that of the least id, or holds null or non-finite components, take no part.
+    ``least`` at least. Vectors of each length are searched among their own, an index a
+    length. Rows with a null id, or a vector that is null, empty, zero or holds null or
+    non-finite components, take no part.
     A query isn't its own neighbour: rows with its id are left out. Of rows that share an
     id each may be found; equal scores go to the smaller id. Empty tables give no rows.
     """
     rows = _complete(vectors, id_col, vector_col)
-    if dim is None:
-        dim = rows.agg(F.min_by(F.size("vector"), "vec_id")).first()[0] or 0
-    asked = (rows if queries is None else _complete(queries, id_col, vector_col)).where(F.size("vector") == dim)
-    rows = rows.where(F.size("vector") == dim)
+    asked = rows if queries is None else _complete(queries, id_col, vector_col)
+    size = F.size("vector")
+    lengths = sorted(r[0] for r in rows.groupBy(size).count().collect())  # a number for each length in use
+    parts = [_nearest(rows.where(size == n), asked.where(size == n), k, pivots, listed, share, least, seed) for n in lengths]
+    return reduce(DataFrame.union, parts) if parts else rows.sparkSession.createDataFrame([], _FOUND)
+
+
+def _nearest(rows: DataFrame, asked: DataFrame, k: int, pivots: int, listed: int, share: float, least: int, seed: int) -> DataFrame:
+    """The search among vectors of one length."""
     points = pivots_of(rows, pivots, seed)
     index = staged(rows.mapInArrow(_blocks(points, listed), _BLOCK), "permutation-index")
     # each group of queries meets each block: a stated query set against all rows, in blocks

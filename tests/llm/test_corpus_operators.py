@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import plain_versions as plain
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -127,14 +128,24 @@ def test_mixing(docs):
     assert all(0 <= r["mix_slot"] < 1 for r in got)
 
 
-def test_mixing_weights():
+def test_mixing_weights(spark):
     shares = [0.7, 0.2, 0.1]
-    assert mixing.bisected(shares, None, None) == 0.0
-    x = mixing.bisected(shares, 0.9, None)
-    assert mixing.entropy(mixing.tempered(shares, x)) == pytest.approx(0.9, abs=1e-9)
-    x = mixing.bisected(shares, None, 2.0)
-    assert mixing.most_repeated(shares, x) == pytest.approx(2, abs=1e-9)
-    assert mixing.tempered(shares, 1.0) == pytest.approx(shares)
+    table = spark.createDataFrame([(s,) for s in shares], "share double")
+    spread = math.log(7)
+    assert mixing.exponent(table, spread, None, None) == 0.0
+    x = mixing.exponent(table, spread, 0.9, None)
+    assert plain.entropy(plain.tempered(shares, x)) == pytest.approx(0.9, abs=1e-9)
+    x = mixing.exponent(table, spread, None, 2.0)
+    assert plain.most_repeated(shares, x) == pytest.approx(2, abs=1e-9)
+    assert mixing.exponent(table, spread, 0.1, None) == 1.0
+    assert mixing.entropies(table, [1.0, 0.5]) == pytest.approx([plain.entropy(shares), plain.entropy(plain.tempered(shares, 0.5))])
+
+
+def test_mixing_many_sources(docs, monkeypatch):
+    use = lambda: sorted(str(r) for r in mixing.mix_sources(docs, repetition_limit=2.0).select("row.doc_id", "mix_source", "mix_pass", "mix_block", "mix_slot").collect())
+    want = use()
+    monkeypatch.setattr(mixing, "SENT_SOURCES", 2)  # beyond it, the plan is joined by shuffles
+    assert use() == want
 
 
 def test_mixing_to_a_budget(docs):
@@ -303,11 +314,13 @@ def test_nearest(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(900, 16))
     x[50] = x[51] = x[52]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None), (2050, [0.0] * 16), (2100, [float("nan")] * 16), (2150, [1.0] * 3), (2200, [None] * 16), (None, x[0].tolist())]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None), (2050, [0.0] * 16), (2100, [float("nan")] * 16), (2150, [1.0] * 3), (2151, [1.0, 2.0, 3.0]), (2153, []), (2200, [None] * 16), (None, x[0].tolist())]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = defaultdict(list)
-    for r in permutation_index.nearest(table, table.where("vec_id % 50 = 0"), dim=16).orderBy("query_id", "rank").collect():
+    for r in permutation_index.nearest(table, table.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
+    short = got.pop(2150)  # vectors of another length are searched among their own
+    assert [v for v, _ in short] == [2151] and short[0][1] == pytest.approx(6 / math.sqrt(42))
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     hits = 0
     for q in range(0, 900, 50):
@@ -320,7 +333,7 @@ def test_nearest(spark):
     assert set(got) == set(range(0, 900, 50)) and hits >= 0.9 * 5 * 18
     assert [v for v, _ in got[50]][:2] == [51, 52]
     few = table.where("vec_id < 3")
-    assert permutation_index.nearest(few, dim=16).count() == 6
+    assert permutation_index.nearest(few).count() == 6
     assert permutation_index.nearest(table.limit(0)).count() == 0
 
 
