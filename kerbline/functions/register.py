@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.widths import narrow_estimate
 from ..schema import MAX_LATITUDE, WidthParams
 from . import shapes
 
@@ -28,7 +27,8 @@ def register(spark: SparkSession) -> None:
     @F.pandas_udf("double")
     def narrow_width(widths: pd.Series) -> pd.Series:
         p = WidthParams()
-        return widths.map(lambda w: None if w is None else narrow_estimate([x for x in w], p)[1])
+        px = widths.map(lambda w: None if w is None else shapes.narrow_estimate([x for x in w], p.low_quantile, p.high_quantile, p.min_count))
+        return px.map(lambda x: None if x is None else round(x * p.pixel_size_m, 2))
 
     @F.pandas_udf("double")
     def cross_section(xs: pd.Series, ys: pd.Series, cx: pd.Series, cy: pd.Series, dx: pd.Series, dy: pd.Series) -> pd.Series:

@@ -253,9 +253,9 @@ def shift_clusters(spark, sf):
     return M.shift_clusters(_shifts(spark, sf), "edge").select("edge", "kx", "ky", "mx", "my", "n", F.round("std", 6).alias("std"), F.round("seed", 6).alias("seed"))
 
 
-@query("translation_topk", "ring_points", sql=f"WITH {_SHIFTS} SELECT edge, kx, ky, rank FROM (SELECT edge, kx, ky, row_number() OVER (PARTITION BY edge ORDER BY round(seed, 9) DESC, kx, ky) AS rank FROM seeds) WHERE rank <= 10")
+@query("translation_topk", "ring_points", sql=f"WITH {_SHIFTS} SELECT edge, kx, ky, rank FROM (SELECT edge, kx, ky, row_number() OVER (PARTITION BY edge ORDER BY round(seed, 9) DESC, kx, ky) AS rank FROM seeds) WHERE rank <= 250")
 def translation_topk(spark, sf):
-    return M.top_candidates(M.shift_clusters(_shifts(spark, sf), "edge"), "edge", most=10).select("edge", "kx", "ky", "rank")
+    return M.top_candidates(M.shift_clusters(_shifts(spark, sf), "edge"), "edge").select("edge", "kx", "ky", "rank")
 
 
 _LINES = """e AS (SELECT user_id AS key, event_id AS i, CAST((event_id*7919) % 997 AS DOUBLE) x0, CAST((event_id*10473) % 991 AS DOUBLE) y0, CAST((event_id*7919) % 997 + 3 + event_id % 7 AS DOUBLE) x1, CAST((event_id*10473) % 991 + event_id % 11 AS DOUBLE) y1 FROM events),
