@@ -143,14 +143,15 @@ _CONCAVE = """turns AS (SELECT ring, i, vx, vy, (vx - px)*(ny - vy) - (vy - py)*
 
 @query("concave_vertices", "ring_points", sql=f"WITH {_CONCAVE} SELECT ring, CAST(i AS INT) AS i FROM turns WHERE turn < 0")
 def concave_vertices(spark, sf):
-    return M.concave_vertices(X.rings(spark, sf)).select("ring", F.explode("concave").alias("i"))
+    # the outer form: a plain explode would have the list computed once more, in a filter at the scan
+    return M.concave_vertices(X.rings(spark, sf)).select("ring", F.explode_outer("concave").alias("i")).where("i IS NOT NULL")
 
 
 @query("cut_pairs", "ring_points", sql=f"WITH {_CONCAVE}, c AS (SELECT ring, CAST(i AS INT) i FROM turns WHERE turn < 0) SELECT a.ring, a.i AS i, b.i AS j FROM c a JOIN c b ON a.ring = b.ring AND a.i < b.i")
 def cut_pairs(spark, sf):
     """Pairs of concave vertices of one ring, the ends of candidate cuts."""
     pairs = F.flatten(F.transform("concave", lambda a: F.transform(F.filter("concave", lambda b: b > a), lambda b: F.struct(a.alias("i"), b.alias("j")))))
-    return M.concave_vertices(X.rings(spark, sf)).select("ring", F.explode(pairs).alias("p")).select("ring", "p.i", "p.j")
+    return M.concave_vertices(X.rings(spark, sf)).select("ring", F.explode_outer(pairs).alias("p")).where("p IS NOT NULL").select("ring", "p.i", "p.j")
 
 
 @query("measurement_filter", "measurements", sql="SELECT edge, count(*) AS n FROM measurements WHERE width_px IS NOT NULL AND i % 4 <> 0 GROUP BY 1")

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where the session names none."""
+    """``spark.checkpoint.dir``; only where the session names none (tests on one machine) a
+    temporary one is set."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
@@ -22,5 +23,5 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: it is computed once, and a lost
     executor costs nothing before it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
