@@ -1,9 +1,7 @@
-"""Shared helpers: shared folders, row-group planning and vectorised word hashing."""
+"""Shared helpers: tables in the shared folder, row-group planning and vectorised word hashing."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,36 +10,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import kept as staged
+from ..sources.shared import shared_dir
+
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
 #: Text handled at once by the vectorised helpers, so that their arrays stay small.
 SLICE_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests on one machine) a temporary one is set.
-    """
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if known:
-        return known.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="kerbline-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it back.
-
-    The plan is cut there: losing an executor later costs no recomputation before it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fan_out(spark: SparkSession, per_partition: int = 2) -> int:
     """Buckets to deal compact arrays into: a multiple of the shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * per_partition
