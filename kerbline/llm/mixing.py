@@ -21,7 +21,7 @@ from .common import WORD_SPLIT, staged
 #: Sources up to which their plan, a short row each, is sent to every task; a plan of more is
 #: joined by shuffles instead.
 SENT_SOURCES = 10_000
-BLOCK_ROWS = 256
+BLOCK_ROWS, TILE_BLOCKS = 256, 4096
 
 
 def least_fine(fine: Callable[[list[float]], list[bool]], tries: int = 1) -> float:
@@ -50,8 +50,9 @@ def entropies(shares: DataFrame, exponents: list[float]) -> list[float]:
 
 def exponent(shares: DataFrame, spread: float, target_entropy: float | None, repetition_limit: float | None) -> float:
     """The least exponent that holds the repetition limit and whose entropy is no more than
-    the target. ``spread``: the log of the greatest share over the least; between these two
-    sources the passes differ most, by the factor exp(spread * (1 - exponent))."""
+    the target, 1 if none does. ``spread``: the log of the greatest share over the least;
+    between these two sources the passes differ most, by the factor
+    exp(spread * (1 - exponent))."""
     low = 0.0
     if repetition_limit is not None:
         low = least_fine(lambda at: [spread * (1 - x) <= math.log(repetition_limit) for x in at])
@@ -68,6 +69,8 @@ def source_plan(sized: DataFrame, budget: int | None, target_entropy: float | No
     if not n:
         return totals.select("mix_source", "source_tokens", F.lit(0.0).alias("passes"), F.lit(1).alias("blocks")), 0
     shares = totals.withColumn("share", F.col("source_tokens") / F.lit(whole))
+    if target_entropy is not None and (natural := entropies(shares, [1.0])[0]) > target_entropy + 1e-9:
+        raise ValueError(f"an entropy of {target_entropy} can't be met: that of the natural shares is {natural}")
     x = exponent(shares, math.log(most / least), target_entropy, repetition_limit)
     raised = F.pow("share", F.lit(x))
     if budget is None:  # the largest source, whose part is the least, is used once
@@ -78,6 +81,22 @@ def source_plan(sized: DataFrame, budget: int | None, target_entropy: float | No
     return shares.select("mix_source", "source_tokens", F.round(passes, 9).alias("passes"), blocks.alias("blocks")), n
 
 
+def _tile(turn: str, tiles):
+    """The tile of a hash: ranges of hashes in order, about ``TILE_BLOCKS`` blocks each."""
+    return F.least(F.floor((F.col(turn) / F.lit(2.0**64) + 0.5) * tiles), tiles - 1).cast("long")
+
+
+def _before(turns: DataFrame) -> DataFrame:
+    """Adds ``before``: the tokens of a source's pass before each block, by order of ``turn``.
+    Tiles are added up first, so no task orders all blocks of a source."""
+    tiles = turns.groupBy("mix_source", "mix_pass", "tile").agg(F.sum("block_tokens").alias("tile_tokens"))
+    over = Window.partitionBy("mix_source", "mix_pass").orderBy("tile").rowsBetween(Window.unboundedPreceding, 0)
+    first = tiles.select("mix_source", "mix_pass", "tile", (F.sum("tile_tokens").over(over) - F.col("tile_tokens")).alias("tile_before"))
+    within = Window.partitionBy("mix_source", "mix_pass", "tile").orderBy("turn", "mix_block").rowsBetween(Window.unboundedPreceding, 0)
+    inner = turns.withColumn("inner", F.sum("block_tokens").over(within) - F.col("block_tokens"))
+    return inner.join(first, ["mix_source", "mix_pass", "tile"]).withColumn("before", F.col("tile_before") + F.col("inner"))
+
+
 def mix_sources(
     docs: DataFrame,
     budget: int | None = None,
@@ -96,26 +115,29 @@ def mix_sources(
     least once, so no row is lost; with one, a source may be used in part. Tokens are words
     and one end mark, so an empty or null text has one. The row at the edge of a part of a pass
     is used if at least half of it lies within. A null source is the source "". Rows
-    with equal or null ids are separate. An empty table gives no rows.
+    with equal or null ids are separate, each with its own place. A target entropy that no
+    exponent in [0, 1] meets is a ValueError. An empty table gives no rows.
     """
     words = F.size(F.array_remove(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), WORD_SPLIT), ""))
     sized = docs.select(
         F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("row"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("mix_source"),
         (words + 1).cast("long").alias("mix_tokens"),
-        F.xxhash64(F.col(id_col).cast("long"), F.lit(seed)).alias("mix_key"),
+        # the text too, so that rows without ids spread over the blocks
+        F.xxhash64(F.col(id_col).cast("long"), F.col(text_col), F.lit(seed)).alias("mix_key"),
+        F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]).alias("mix_tie"),
     )
     plan, n_sources = source_plan(sized, budget, target_entropy, repetition_limit)
     plan = F.broadcast(plan) if n_sources <= SENT_SOURCES else plan.hint("merge")
     placed = sized.join(plan, "mix_source").withColumn("mix_block", F.pmod("mix_key", "blocks").cast("int"))
-    totals = staged(placed.groupBy("mix_source", "source_tokens", "passes", "mix_block").agg(F.sum("mix_tokens").alias("block_tokens")), "mix-blocks")
+    totals = staged(placed.groupBy("mix_source", "source_tokens", "passes", "blocks", "mix_block").agg(F.sum("mix_tokens").alias("block_tokens")), "mix-blocks")
     turns = totals.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil("passes"), F.lit(1)).cast("int") - 1)).alias("mix_pass"))
-    order = Window.partitionBy("mix_source", "mix_pass").orderBy(F.xxhash64("mix_source", "mix_block", "mix_pass", F.lit(seed)), "mix_block")
-    before = F.sum("block_tokens").over(order) - F.col("block_tokens")
+    turn = F.xxhash64("mix_source", "mix_block", "mix_pass", F.lit(seed))
+    before = _before(turns.withColumn("turn", turn).withColumn("tile", _tile("turn", F.ceil(F.col("blocks") / TILE_BLOCKS))))
     quota = F.least(F.lit(1.0), F.col("passes") - F.col("mix_pass")) * F.col("source_tokens")
-    used = staged(turns.select("mix_source", "mix_block", "mix_pass", "source_tokens", "passes", "block_tokens", before.alias("before"), quota.alias("quota")).where("before < quota"), "mix-turns")
-    joined = placed.select("row", "mix_source", "mix_tokens", "mix_key", "mix_block").join(used, ["mix_source", "mix_block"])
-    within = Window.partitionBy("mix_source", "mix_block", "mix_pass").orderBy(F.xxhash64("mix_key", "mix_pass"), "mix_key")
+    used = staged(before.select("mix_source", "mix_block", "mix_pass", "source_tokens", "passes", "before", quota.alias("quota")).where("before < quota"), "mix-turns")
+    joined = placed.select("row", "mix_source", "mix_tokens", "mix_key", "mix_tie", "mix_block").join(used, ["mix_source", "mix_block"])
+    within = Window.partitionBy("mix_source", "mix_block", "mix_pass").orderBy(F.xxhash64("mix_key", "mix_pass"), "mix_key", "mix_tie").rowsBetween(Window.unboundedPreceding, 0)
     placed_in = joined.withColumn("in_block", F.sum("mix_tokens").over(within) - F.col("mix_tokens"))
     at = F.col("before") + F.col("in_block")
     slot = (F.col("mix_pass") * F.col("source_tokens") + at) / (F.greatest("passes", F.lit(1e-9)) * F.col("source_tokens"))
