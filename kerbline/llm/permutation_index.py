@@ -92,7 +92,7 @@ def _groups(batches):
         for k in range(0, b.num_rows, QUERY_ROWS):
             part = b.slice(k, QUERY_ROWS)
             x = _vectors(part.column("vector"))[0]
-            yield pa.RecordBatch.from_pydict({"group": [task + n], "query_ids": [part.column("vec_id").to_numpy(zero_copy_only=False).tobytes()], "queries": [x.tobytes()]})
+            yield pa.RecordBatch.from_pydict({"group": [task + n], "query_ids": [part.column("vec_id").to_numpy(zero_copy_only=False).tobytes()], "turns": [part.column("turn").to_numpy(zero_copy_only=False).tobytes()], "queries": [x.tobytes()]})
             n += 1
 
 
@@ -101,6 +101,7 @@ def _search(pivots: np.ndarray, listed: int, k: int, share: float, least: int):
         for batch in batches:
             for r in batch.to_pylist():
                 ids, qids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["query_ids"], np.int64)
+                turns = np.frombuffer(r["turns"], np.int64)
                 x, q = np.frombuffer(r["vectors"]).reshape(len(ids), -1), np.frombuffer(r["queries"]).reshape(len(qids), -1)
                 rows, places, cuts = (np.frombuffer(r[c], t) for c, t in (("rows", np.int32), ("places", np.int32), ("cuts", np.int64)))
                 n_listed = len(rows) // len(ids)
@@ -122,9 +123,9 @@ def _search(pivots: np.ndarray, listed: int, k: int, share: float, least: int):
                     found = found[ids[found] != qids[i]]
                     score = (x[found] * q[i]).sum(1) / (norms[found] * np.sqrt((q[i] * q[i]).sum()))
                     best = np.lexsort((ids[found], -score))[:k]
-                    out += [(qids[i], ids[found[j]], score[j]) for j in best]
-                cols = list(zip(*out)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "vec_id", "score"])
+                    out += [(qids[i], turns[i], ids[found[j]], score[j]) for j in best]
+                cols = list(zip(*out)) or [(), (), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "turn", "vec_id", "score"])
 
     return run
 
@@ -149,7 +150,9 @@ def nearest(
     length. Rows with a null id, or a vector that is null, empty, zero or holds null or
     non-finite components, take no part.
     A query isn't its own neighbour: rows with its id are left out. Of rows that share an
-    id each may be found; equal scores go to the smaller id. Empty tables give no rows.
+    id each may be found; equal scores go to the smaller id. Repeated query rows are asked
+    once; query rows that share an id but not the vector each get a list of their own.
+    Empty tables give no rows.
     """
     rows = _complete(vectors, id_col, vector_col)
     asked = rows if queries is None else _complete(queries, id_col, vector_col)
@@ -164,9 +167,10 @@ def _nearest(rows: DataFrame, asked: DataFrame, k: int, pivots: int, listed: int
     points = pivots_of(rows, pivots, seed)
     index = staged(rows.mapInArrow(_blocks(points, listed), _BLOCK), "permutation-index")
     # each group of queries meets each block: a stated query set against all rows, in blocks
-    groups = asked.mapInArrow(_groups, "group long, query_ids binary, queries binary")
+    once = asked.dropDuplicates(["vec_id", "vector"]).withColumn("turn", F.xxhash64("vector")).sortWithinPartitions("vec_id", "vector")
+    groups = once.mapInArrow(_groups, "group long, query_ids binary, turns binary, queries binary")
     numbers = index.agg(F.collect_list("block").alias("b"))  # 8 bytes for each BLOCK_ROWS vectors
     met = groups.select("*", F.explode(numbers.scalar()).alias("block")).join(index, "block")
-    found = met.mapInArrow(_search(points, listed, k, share, least), "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = met.mapInArrow(_search(points, listed, k, share, least), "query_id long, turn long, vec_id long, score double")
+    w = Window.partitionBy("query_id", "turn").orderBy(F.desc("score"), "vec_id")
     return found.select("query_id", F.row_number().over(w).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
