@@ -5,7 +5,8 @@ bare high-entropy strings and endpoints are weak: each alone is common in clean
 are joined as intervals within their scope (a block between blank lines): a weak secret
 needs an identifier or an endpoint within ``gap`` characters, a weak identifier or an
 endpoint needs a secret. The join is a window over the scope in order of position, which
-keeps the last part of each role before and the first after, so no pairs are listed.
+keeps the last part of each role before, and another in reverse order the first after, so no
+pairs are listed and no position is looked at twice.
 """
 
 from __future__ import annotations
@@ -39,6 +40,27 @@ _SPANS = "array<struct<kind:int,start:int,end:int,scope:int>>"
 _SPAN_ARROW = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("scope", pa.int32())]))
 
 
+class _Spans:
+    """Spans that know which of them overlap a given one."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.spans: list[tuple[int, int, int]] = []
+        self.ends: dict[int, list[tuple[int, int]]] = {}
+        for span in spans:
+            self.add(*span)
+
+    def add(self, kind: int, a: int, b: int) -> None:
+        self.spans.append((kind, a, b))
+        self.ends.setdefault(kind, []).append((b, a))  # spans of one kind are found in order and don't overlap
+
+    def meets(self, a: int, b: int, but: int | None = None) -> bool:
+        for kind, held in self.ends.items():
+            i = bisect_left(held, (a + 1, -1))  # the first that ends after a
+            if kind != but and i < len(held) and held[i][1] < b:
+                return True
+        return False
+
+
 def candidate_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind number, start, end) of all candidates of one text, in order of position."""
     out = []
@@ -54,11 +76,12 @@ def candidate_spans(text: str) -> list[tuple[int, int, int]]:
         begun = {a for a, _ in secrets}  # what a bare access key names may be the secret itself
         weak += [(3, *m.span()) for m in _IDENTIFIER.finditer(text) if not (m[1] and m.start(2) in begun)]
     weak += [(4, a, b) for a, b in secrets]
-    taken = list(out)
+    base, others = _Spans(out), _Spans([])
     for kind, a, b in weak:  # a part that lies in another span is no part of its own, but for a secret that an endpoint carries
         carried = kind == 4 and (text[a - 1 : a] == "=" or text[a - 1 : a] == ":" and text[b : b + 1] == "@")
-        if not any(a < y and x < b for k, x, y in taken if not (carried and k == 5)):
-            taken.append((kind, a, b))
+        if not base.meets(a, b) and not others.meets(a, b, 5 if carried else None):
+            others.add(kind, a, b)
+    taken = out + others.spans
     return sorted(taken, key=lambda x: (x[1], x[0]))
 
 
@@ -86,8 +109,9 @@ def _linked(found: DataFrame, gap: int) -> DataFrame:
     """``row, linked``: the weak spans of each text that have a complement close by."""
     flat = found.where(F.exists("spans", lambda s: s["kind"] > 2)).select("row", F.explode("spans").alias("s")).select("row", "s.*")
     role = F.element_at(F.array(*[F.lit(_ROLE[k]) for k in KINDS]), F.col("kind") + 1)
-    w = Window.partitionBy("row", "scope").orderBy("start", "end", "kind")
-    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    scope = Window.partitionBy("row", "scope")
+    # a frame that ends at the row is summed up as it grows; one that begins there is not
+    before, after = (scope.orderBy(*[f(c) for c in ("start", "end", "kind")]).rowsBetween(Window.unboundedPreceding, -1) for f in (F.asc, F.desc))
     near = {}
     for part in ("secret", "identifier", "endpoint"):
         last = F.max(F.when(F.col("role") == part, F.col("end"))).over(before)
@@ -129,6 +153,26 @@ def listed(spans):
     return F.array_join(F.transform(order, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _masked(mask: str):
+    """Passes ``kept`` on, with ``text`` whose ``spans``, in order, are masked."""
+
+    def one(text: str, spans: list[dict]) -> str:
+        out, at = [], 0
+        for s in spans:
+            if s["start"] >= at:
+                out += [text[at : s["start"]], mask]
+            at = max(at, s["end"])
+        return "".join([*out, text[at:]])
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                new = [one(*x) for x in zip(part.column("text").to_pylist(), part.column("spans").to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column("kept"), pa.array(new, pa.string())], names=["kept", "masked"])
+
+    return run
+
+
 def redacted(docs: DataFrame, mask: str = "[secret]", gap: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with all base and linked spans of each text replaced by ``mask``.
 
@@ -141,14 +185,8 @@ def redacted(docs: DataFrame, mask: str = "[secret]", gap: int = 200, id_col: st
     clean = found.where(F.size("spans") == 0).select("kept", F.col(f"kept.c{at}").cast("string").alias("masked"))
     some = found.where(F.size("spans") > 0)  # only these rows are shuffled
     some = some.join(_linked(found.select("row", "spans"), gap), "row", "left").withColumn("all", F.concat(_bare(_base("spans")), F.coalesce("linked", _none())))
-    ordered = F.array_sort(F.transform("all", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    whole = F.col(f"kept.c{at}").cast("string")
-
-    def step(acc, s):
-        new = F.concat(acc["out"], F.substring(whole, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
-        return F.struct(F.when(s["start"] >= acc["at"], new).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    done = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substring(whole, acc["at"] + 1, F.length(whole))))
-    both = clean.union(some.select("kept", done.alias("masked")))
+    kind = found.schema["kept"].dataType.simpleString()
+    done = some.select("kept", F.col(f"kept.c{at}").cast("string").alias("text"), F.array_sort(F.transform("all", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))).alias("spans"))
+    done = done.mapInArrow(_masked(mask), f"kept {kind}, masked string")
+    both = clean.union(done)
     return both.select(*[(F.col("masked") if i == at else F.col(f"kept.c{i}")).alias(c) for i, c in enumerate(docs.columns)])
