@@ -106,3 +106,8 @@ def encoded(path: str, texts: Iterable[str], end_id: int | None) -> list[bytes]:
     """The ids of each text and the end id, as little-endian unsigned 32-bit bytes."""
     tok, end = tokenizer(path), b"" if end_id is None else np.array([end_id], "<u4").tobytes()
     return [tok.ids(t) + end for t in texts]
+
+
+def largest_id(path: str, end_id: int | None) -> int:
+    """The largest id that ``encoded`` can give."""
+    return max(end_id or 0, *tokenizer(path).library.get_vocab(with_added_tokens=True).values())

@@ -5,9 +5,13 @@ Format (a folder of Parquet tables, so that any Spark file system holds it):
 * ``chunks``   packs of chunks: bucket, digests (32 bytes each: SHA-256 of the ids as
   little-endian 32-bit values), lengths (32-bit), data (Zstandard of all their ids, unsigned
   16-bit little-endian where the vocabulary allows, else 32-bit). Each digest once.
-* ``recipes``  part, row, doc_id, n_tokens, digests, lengths, leaf; sorted by doc_id within a
+* ``recipes``  part, row, doc_id, n_tokens, digests, lengths; sorted by doc_id within a
   part, and parts by range: reading parts in order gives ascending doc_ids.
-* ``manifest`` part, rows, tokens, root (Merkle root over the leaves of the part).
+* ``manifest`` part, rows, tokens, root (Merkle root over the recipes of the part).
+* ``head``     one row: id_bytes (2 or 4), parts, root (Merkle root over the manifest).
+
+A reader computes the roots of all parts anew from the recipes that it reads, and the head's
+from the manifest, so recipes that were lost, added, moved or changed don't go unseen.
 
 An id stream is cut where a rolling hash of the last ids has its low bits zero, so equal
 passages give equal chunks wherever they stand. Reading back joins recipes to chunks by
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import fan_out, mixed, shared_dir, slices, staged, texts_of
-from .token_ids import encoded
+from .token_ids import encoded, largest_id
 
 ROLL = 16
 #: Ids that a task gathers before it deals them out, and ids of one stored pack.
@@ -40,7 +44,7 @@ _PACK = "bucket int, chunk_digests binary, chunk_lengths binary, data binary"
 _CUT = f"doc_id long, n_tokens long, digests array<binary>, lengths array<int>, {_PACK}"
 _PACK_ARROW = pa.schema([("bucket", pa.int32()), ("chunk_digests", pa.binary()), ("chunk_lengths", pa.binary()), ("data", pa.binary())])
 _CUT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int32())), *_PACK_ARROW])
-_RECIPE = "part int, row long, doc_id long, n_tokens long, digests array<binary>, lengths array<int>, leaf binary"
+_RECIPE = "part int, row long, doc_id long, n_tokens long, digests array<binary>, lengths array<int>"
 
 
 def cut_points(ids: np.ndarray, offs: np.ndarray, bits: int, longest: int) -> np.ndarray:
@@ -107,8 +111,8 @@ def merkle_root(leaves) -> bytes:
     return root
 
 
-def recipe_leaf(doc_id: int | None, digests: list[bytes], lengths: list[int]) -> bytes:
-    head = f"{doc_id}:{','.join(map(str, lengths))}:".encode()
+def recipe_leaf(doc_id: int | None, n_tokens: int, digests: list[bytes], lengths: list[int]) -> bytes:
+    head = f"{doc_id}:{n_tokens}:{','.join(map(str, lengths))}:".encode()
     return hashlib.sha256(b"\x00" + head + b"".join(digests)).digest()
 
 
@@ -126,13 +130,14 @@ def _unpacked(row: dict, size: int):
         at += size * n
 
 
-def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, bits: int = 8, longest: int = 4096, wide: bool = False, id_col: str = "doc_id", text_col: str = "text") -> str:
+def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, bits: int = 8, longest: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Encode whole texts and write them as a store at ``path``; returns ``path``.
 
     A null or empty text is the end id alone. Equal doc_ids are kept as separate documents,
-    null ids come first. An empty table gives a store without rows.
+    null ids come first. An empty table gives a store without rows. Ids take two bytes if
+    those of the vocabulary and the end id fit, else four.
     """
-    size = 4 if wide else 2
+    size = 2 if largest_id(tokenizer_path, end_id) < 1 << 16 else 4
     buckets = fan_out(docs.sparkSession)
 
     def cut(batches):
@@ -153,7 +158,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2
                 ids = np.frombuffer(b"".join(blobs), "<u4")
                 offs = np.concatenate([[0], np.cumsum([len(b) // 4 for b in blobs])]).astype(np.int64)
                 cuts = cut_points(ids, offs, bits, longest)
-                raw, small = ids.tobytes(), ids.astype("<u4" if wide else "<u2").tobytes()
+                raw, small = ids.tobytes(), ids.astype(f"<u{size}").tobytes()
                 digests = []
                 for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                     digest = hashlib.sha256(raw[4 * a : 4 * b]).digest()
@@ -193,10 +198,9 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2
     def numbered(batches):
         part, row = TaskContext.get().partitionId(), 0
         for b in batches:
-            leaves = [recipe_leaf(*x) for x in zip(b.column("doc_id").to_pylist(), b.column("digests").to_pylist(), b.column("lengths").to_pylist())]
             n = b.num_rows
-            cols = [pa.array(np.full(n, part), pa.int32()), pa.array(np.arange(row, row + n), pa.int64()), *(b.column(c) for c in ("doc_id", "n_tokens", "digests", "lengths")), pa.array(leaves, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["part", "row", "doc_id", "n_tokens", "digests", "lengths", "leaf"])
+            cols = [pa.array(np.full(n, part), pa.int32()), pa.array(np.arange(row, row + n), pa.int64()), *(b.column(c) for c in ("doc_id", "n_tokens", "digests", "lengths"))]
+            yield pa.RecordBatch.from_arrays(cols, names=["part", "row", "doc_id", "n_tokens", "digests", "lengths"])
             row += n
 
     cutted = staged(texts_of(docs, id_col, text_col).mapInArrow(cut, _CUT), "store-cut")
@@ -207,41 +211,60 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2
     packs = cutted.where("bucket IS NOT NULL").select(*_PACK_ARROW.names)
     packs.groupBy("bucket").applyInArrow(unique, _PACK).write.parquet(f"{path}/chunks")
     _manifest(spark, path).write.parquet(f"{path}/manifest")
+    _head(spark.read.parquet(f"{path}/manifest"), size).write.parquet(f"{path}/head")
     return path
 
 
 def _manifest(spark: SparkSession, path: str) -> DataFrame:
     """Merkle root, rows and tokens of each part, from the recipes as they are on disk."""
 
+    def leaves(batches):
+        for b in batches:
+            made = [recipe_leaf(*x) for x in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n_tokens", "digests", "lengths")))]
+            yield pa.RecordBatch.from_arrays([b.column("part"), b.column("row"), b.column("n_tokens"), pa.array(made, pa.binary())], names=["part", "row", "n_tokens", "leaf"])
+
     def rooted(batches):
         def rows():
             for b in batches:
-                yield from zip(*(b.column(c).to_pylist() for c in ("part", "n_tokens", "doc_id", "digests", "lengths")))
+                yield from zip(*(b.column(c).to_pylist() for c in ("part", "n_tokens", "leaf")))
 
         for part, group in groupby(rows(), key=lambda x: x[0]):
-            count = {"rows": 0, "tokens": 0}
+            count = [0, 0]
 
-            def leaves(group=group, count=count):
-                for x in group:
-                    count["rows"] += 1
-                    count["tokens"] += x[1]
-                    yield recipe_leaf(*x[2:])
+            def counted(group=group, count=count):
+                for _, n, leaf in group:
+                    count[0] += 1
+                    count[1] += n
+                    yield leaf
 
-            root = merkle_root(leaves())
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "rows": [count["rows"]], "tokens": [count["tokens"]], "root": pa.array([root], pa.binary())})
+            root = merkle_root(counted())
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "rows": [count[0]], "tokens": [count[1]], "root": pa.array([root], pa.binary())})
 
-    read = spark.read.schema(_RECIPE).parquet(f"{path}/recipes").select("part", "row", "n_tokens", "doc_id", "digests", "lengths")
-    ordered = read.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part").sortWithinPartitions("part", "row")
+    # only leaves are shuffled, not the recipes
+    made = spark.read.schema(_RECIPE).parquet(f"{path}/recipes").mapInArrow(leaves, "part int, row long, n_tokens long, leaf binary")
+    ordered = made.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part").sortWithinPartitions("part", "row")
     return ordered.mapInArrow(rooted, "part int, rows long, tokens long, root binary")
 
 
-def read_store(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
+def _head(manifest: DataFrame, size: int) -> DataFrame:
+    """One row over a manifest, which has a row for each of the parts that were written."""
+    parts = [(r["part"], r["rows"], r["tokens"], bytes(r["root"])) for r in manifest.orderBy("part").collect()]  # shuffle partitions at most
+    root = merkle_root(hashlib.sha256(b"\x00" + f"{p}:{n}:{t}:".encode() + x).digest() for p, n, t, x in parts)
+    return manifest.sparkSession.createDataFrame([(size, len(parts), root)], "id_bytes int, parts int, root binary")
+
+
+def read_store(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32, verified`` for every document of a store.
 
-    All are derived from what is read: ``verified`` holds if the document's chunks are
-    there with their digests and lengths, and its recipe gives its leaf.
+    All are derived from what is read. ``verified`` holds if the document's chunks are there
+    with their digests and lengths, the recipes of its part give the rows, tokens and Merkle
+    root of the manifest, and no part before it or after it lacks or differs in the manifest
+    or the head: a start is only right if all before it are there. So a recipe that was
+    changed, moved, added or removed leaves no document of the store verified, and a chunk
+    that was changed or removed none that holds it.
     """
-    size, kind = (4, "<u4") if wide else (2, "<u2")
+    head = spark.read.parquet(f"{path}/head").first()
+    size, kind = head["id_bytes"], f"<u{head['id_bytes']}"
 
     def sums(batches):
         for b in batches:
@@ -264,9 +287,8 @@ def read_store(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
                 flat = np.concatenate(lens) if lens else np.zeros(0, np.int64)
                 total = np.cumsum(flat)
                 ends = np.repeat(total[np.cumsum(count) - 1], count) if len(flat) else flat
-                leaf = [recipe_leaf(*x[:3]) == x[3] for x in zip(p.column("doc_id").to_pylist(), p.column("digests").to_pylist(), p.column("lengths").to_pylist(), p.column("leaf").to_pylist())]
                 over = lambda c, t: pa.array(np.repeat(np.array(p.column(c).to_pylist()), count), t)  # noqa: E731, B023
-                yield pa.RecordBatch.from_pydict({"part": over("part", pa.int32()), "row": over("row", pa.int64()), "digest": p.column("digests").flatten(), "length": pa.array(flat, pa.int64()), "after": pa.array(ends - total, pa.int64()), "leaf_ok": pa.array(np.repeat(leaf, count), pa.bool_())})
+                yield pa.RecordBatch.from_pydict({"part": over("part", pa.int32()), "row": over("row", pa.int64()), "digest": p.column("digests").flatten(), "length": pa.array(flat, pa.int64()), "after": pa.array(ends - total, pa.int64())})
 
     def shift(batches):
         for b in batches:
@@ -275,14 +297,21 @@ def read_store(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
 
     recipes = spark.read.schema(_RECIPE).parquet(f"{path}/recipes")
     chunks = spark.read.schema(_PACK).parquet(f"{path}/chunks").mapInArrow(sums, "digest binary, crc long, found long, same boolean")
-    parts = recipes.mapInArrow(entries, "part int, row long, digest binary, length long, after long, leaf_ok boolean")
-    met = parts.join(chunks, "digest", "left").select("part", "row", F.coalesce("crc", F.lit(0)).alias("crc"), "length", "after", (F.coalesce("same", F.lit(False)) & (F.col("found") == F.col("length")) & F.col("leaf_ok")).alias("ok"))
+    parts = recipes.mapInArrow(entries, "part int, row long, digest binary, length long, after long")
+    met = parts.join(chunks, "digest", "left").select("part", "row", F.coalesce("crc", F.lit(0)).alias("crc"), F.coalesce("found", F.lit(0)).alias("length"), "after", F.coalesce(F.col("same") & (F.col("found") == F.col("length")), F.lit(False)).alias("ok"))
     docs = met.mapInArrow(shift, "part int, row long, crc long, length long, ok boolean").groupBy("part", "row").agg(F.bit_xor("crc").alias("ids_crc32"), F.sum("length").alias("n_tokens"), F.bool_and("ok").alias("verified"))
     manifest = spark.read.parquet(f"{path}/manifest")
+    whole = _same_parts(manifest, _manifest(spark, path)) and _head(manifest, size).first() == head
     before = manifest.select("part", (F.sum("tokens").over(Window.orderBy("part")) - F.col("tokens")).alias("before"))
     starts = recipes.select("part", "row", "doc_id", "n_tokens").join(F.broadcast(before), "part")
     run = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("row")) - F.col("n_tokens")
-    return starts.select("part", "row", "doc_id", (F.col("before") + run).alias("start")).join(docs, ["part", "row"]).select("doc_id", "start", "n_tokens", "ids_crc32", "verified")
+    return starts.select("part", "row", "doc_id", (F.col("before") + run).alias("start")).join(docs, ["part", "row"]).select("doc_id", "start", "n_tokens", "ids_crc32", (F.col("verified") & F.lit(whole)).alias("verified"))
+
+
+def _same_parts(manifest: DataFrame, found: DataFrame) -> bool:
+    """Whether both have the same rows; each has one for each part."""
+    kept, now = ({r["part"]: (r["rows"], r["tokens"], bytes(r["root"])) for r in x.collect()} for x in (manifest, found))
+    return kept == now
 
 
 def store_and_read(docs: DataFrame, tokenizer_path: str, path: str | None = None, **options) -> DataFrame:
@@ -290,4 +319,4 @@ def store_and_read(docs: DataFrame, tokenizer_path: str, path: str | None = None
     spark = docs.sparkSession
     where = path or f"{shared_dir(spark)}/token-store-{uuid.uuid4().hex}"
     write_store(docs, tokenizer_path, where, **options)
-    return read_store(spark, where, wide=options.get("wide", False))
+    return read_store(spark, where)
