@@ -114,7 +114,7 @@ def _count_pairs(buckets: int):
         fresh = np.ones(len(u), bool)
         fresh[1:] = (u[1:] != u[:-1]) | (w[1:] != w[:-1])
         at = np.flatnonzero(fresh)
-        n = np.diff(np.append(at, len(u))).astype(np.uint32)
+        n = np.diff(np.append(at, len(u))).astype(np.uint32)  # a run is RUN_TOKENS and one text at most, which fits
         u, w = u[at], w[at]
         b = _bucket(u, buckets)
         cuts = np.searchsorted(b, np.arange(buckets + 1))
@@ -142,6 +142,15 @@ def _count_pairs(buckets: int):
     return run
 
 
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts as 32-bit numbers if all fit, else as 64-bit."""
+    return counts.astype("<u4" if not len(counts) or counts.max() < 1 << 32 else "<i8").tobytes()
+
+
+def _widened(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, "<u4" if len(data) == 4 * n else "<i8").astype(np.int64)
+
+
 def _of_counts(n: np.ndarray) -> list[int]:
     return [int((n == k).sum()) for k in (1, 2, 3, 4)]
 
@@ -173,12 +182,12 @@ def _bigram_file(path: str, buckets: int):
         order = np.lexsort((w, _bucket(w, buckets)))
         sw, sn = w[order], n[order]
         at = np.flatnonzero(np.append(True, sw[1:] != sw[:-1]))
-        contexts, tokens, sw = np.diff(np.append(at, len(sw))).astype(np.uint32), np.add.reduceat(sn, at).astype(np.uint32), sw[at]
+        contexts, tokens, sw = np.diff(np.append(at, len(sw))).astype(np.uint32), np.add.reduceat(sn, at), sw[at]
         cuts = np.searchsorted(_bucket(sw, buckets), np.arange(buckets + 1))
         full = np.flatnonzero(np.diff(cuts)).tolist()
         part = [slice(cuts[k], cuts[k + 1]) for k in full]
         stats = [json.dumps(_of_counts(n)) if i == 0 else None for i in range(len(full))]
-        return pa.table({"bucket": pa.array(full, pa.int32()), "words": pa.array([_pack(sw[s]) for s in part], pa.binary()), "contexts": pa.array([contexts[s].tobytes() for s in part], pa.binary()), "tokens": pa.array([tokens[s].tobytes() for s in part], pa.binary()), "stats": pa.array(stats, pa.string())})
+        return pa.table({"bucket": pa.array(full, pa.int32()), "words": pa.array([_pack(sw[s]) for s in part], pa.binary()), "contexts": pa.array([contexts[s].tobytes() for s in part], pa.binary()), "tokens": pa.array([_narrow(tokens[s]) for s in part], pa.binary()), "stats": pa.array(stats, pa.string())})
 
     return run
 
@@ -188,7 +197,10 @@ def _word_file(path: str):
 
     def run(rows: pa.Table) -> pa.Table:
         bucket = rows.column("bucket")[0].as_py()
-        words, contexts, tokens = (np.concatenate([f(x) for x in rows.column(c).to_pylist()]) for c, f in (("words", _unpack), ("contexts", lambda x: np.frombuffer(x, np.uint32)), ("tokens", lambda x: np.frombuffer(x, np.uint32))))
+        dealt = [_unpack(x) for x in rows.column("words").to_pylist()]
+        words = np.concatenate(dealt)
+        contexts = np.concatenate([np.frombuffer(x, np.uint32) for x in rows.column("contexts").to_pylist()])
+        tokens = np.concatenate([_widened(x, len(w)) for x, w in zip(rows.column("tokens").to_pylist(), dealt)])
         order = np.argsort(words, kind="stable")
         words = words[order]
         at = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
