@@ -171,18 +171,19 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: float, steps: int = 60) -
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, chain_rows: int = 400, chain_words: int = 3000, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic") -> Field:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, chain_rows: int = 400, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic") -> Field:
     """Fit on at most ``sample_rows`` labelled rows of ``docs``, those with least hashes.
 
     Half of them (by another hash) give the evidence counts and, from at most
-    ``chain_rows`` whole texts of each class of at most ``chain_words`` words, the field;
-    the others the weights of document scores. Null ids and null labels take no part. With
+    ``chain_rows`` whole texts of each class, the field; the others the weights of document
+    scores. Null ids and null labels take no part; of documents that share an id, the one
+    whose text comes first in order is the labelled one. With
     no toxic or no clean row every score is low (a fixed prior).
     """
     pick = F.xxhash64("doc_id", F.lit(1))
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(toxic_col).cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(pick, "doc_id").limit(sample_rows)
-    sample = texts_of(docs, id_col, text_col).join(F.broadcast(known), "doc_id")  # at most sample_rows ids
+    sample = texts_of(docs, id_col, text_col).join(F.broadcast(known), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # at most sample_rows
     sample = staged(sample.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(2))), "toxic-sample")
     sizes = {(r["half"], r["toxic"]): r["count"] for r in sample.groupBy("half", "toxic").count().collect()}
     toxic, clean = sizes.get((0, 1), 0), sizes.get((0, 0), 0)
@@ -207,8 +208,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, chain_row
     odds = np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1)) - np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
     model.table[b.astype(np.int64)] = np.maximum(odds, 0)
 
-    short = sample.where((F.col("half") == 0) & (F.size(F.split("text", r"\s+")) <= chain_words)).orderBy(pick, "doc_id")
-    rows = [r for k in (0, 1) for r in short.where(F.col("toxic") == k).limit(chain_rows).collect()]
+    first = sample.where("half = 0").orderBy(pick, "doc_id")
+    rows = [r for k in (0, 1) for r in first.where(F.col("toxic") == k).limit(chain_rows).collect()]
     part = pa.RecordBatch.from_pydict({"text": [r["text"] for r in rows]})
     low, st, en, woff, _ = tokens(part)
     ev = model.evidence(low, st, en)
