@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import WORD_SPLIT, texts_of
 
+#: What each bucket's share is raised by in both multinomials.
+SMOOTHING = 2e-6
 #: Symbols that the base rules count.
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -65,15 +67,17 @@ def base_counts(words: DataFrame, window: int = 8) -> DataFrame:
 
 
 def ratio_weights(words: DataFrame, trusted: DataFrame, buckets: int, smoothing: float) -> DataFrame:
-    """One row: the log ratio of each bucket, in order, as one array of fixed length."""
+    """One row: the log ratio of each bucket, in order, as one array of fixed length.
+
+    Both multinomials are mixed with the same part of a constant for each bucket, so the
+    ratios depend on shares alone: a corpus repeated many times keeps its verdicts."""
     marked = words.join(F.broadcast(trusted.select("doc_id").distinct().withColumn("good", F.lit(1))), "doc_id", "left")
     grams = marked.select("good", F.explode(_grams(buckets)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("target"))
     every = words.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     filled = every.join(counts, "bucket", "left").select("bucket", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
     listed = filled.agg(F.array_sort(F.collect_list(F.struct("bucket", "raw", "target"))).alias("c"), F.sum("raw").alias("n_raw"), F.sum("target").alias("n_target"))
-    scale = F.col("n_raw") / F.col("n_target")  # both get the same share of smoothing, so a small target isn't pulled down
-    ratio = F.transform("c", lambda x: F.log((x["target"] * scale + smoothing) / (x["raw"] + smoothing)))
+    ratio = F.transform("c", lambda x: F.log((x["target"] / F.col("n_target") + smoothing) / (x["raw"] / F.col("n_raw") + smoothing)))
     return listed.select(F.when(F.col("n_target") > 0, ratio).alias("weights"))
 
 
@@ -82,7 +86,7 @@ def quality_rules(
     trusted: DataFrame,
     threshold: float = -0.1,
     buckets: int = 16384,
-    smoothing: float = 20.0,
+    smoothing: float = SMOOTHING,
     trusted_rows: int = 20_000,
     least_words: int = 20,
     repeat_percent: int = 30,
@@ -104,7 +108,7 @@ def quality_rules(
 
 def good_rows(docs: DataFrame, trusted: DataFrame, threshold: float = -0.1, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, with their own columns, that ``quality_rules`` keeps."""
-    rules = {"buckets": 16384, "smoothing": 20.0, "trusted_rows": 20_000, "least_words": 20, "repeat_percent": 30} | options
+    rules = {"buckets": 16384, "smoothing": SMOOTHING, "trusted_rows": 20_000, "least_words": 20, "repeat_percent": 30} | options
     judged = _judged(_words(docs, id_col, text_col, carry=True), trusted, threshold, **rules)
     # the row number keeps the optimiser from copying the verdict's long expressions into the scan's filter
     held = judged.withColumn("turn", F.monotonically_increasing_id()).where("kept AND turn >= 0")
