@@ -128,6 +128,28 @@ def test_mixing(docs):
     assert all(0 <= r["mix_slot"] < 1 for r in got)
 
 
+def test_mixing_gives_every_row_a_place_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 2)
+    monkeypatch.setattr(mixing, "TILE_BLOCKS", 3)
+    rows = [(1, "w " * 5, "a")] * 4 + [(1, "w " * n, "a") for n in range(9)] + [(None, "v " * n, "a") for n in range(40)] + [(k, "x y", "b") for k in range(7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(docs, repetition_limit=2.0).collect()
+    for source in "ab":
+        own = sorted((r for r in got if r["mix_source"] == source), key=lambda r: r["mix_slot"])
+        whole = sum(len(t.split()) + 1 for _, t, s in rows if s == source)
+        first = [r for r in own if r["mix_pass"] == 0]
+        assert len(first) == sum(s == source for _, _, s in rows)
+        unit = own[-1]["mix_slot"] / (sum(r["mix_tokens"] for r in own[:-1])) if len(own) > len(first) else 1 / whole
+        at = 0
+        for r in own:
+            assert r["mix_slot"] == pytest.approx(at * unit, abs=1e-9)
+            at += r["mix_tokens"]
+    spread = Counter(r["mix_block"] for r in got if r["mix_source"] == "a" and r["row"]["doc_id"] is None and r["mix_pass"] == 0)
+    assert len(spread) > 5 and max(spread.values()) < 15
+    with pytest.raises(ValueError, match="can't be met"):
+        mixing.mix_sources(docs, target_entropy=0.01)
+
+
 def test_mixing_weights(spark):
     shares = [0.7, 0.2, 0.1]
     table = spark.createDataFrame([(s,) for s in shares], "share double")
@@ -214,13 +236,46 @@ def test_token_store(spark, docs, library, tmp_path):
     packs = spark.read.parquet(f"{place}/chunks")
     digests = [bytes(r["chunk_digests"])[k : k + 32] for r in packs.collect() for k in range(0, len(r["chunk_digests"]), 32)]
     assert len(digests) == len(set(digests))
-    # a chunk that isn't what its digest says is found
+    tables = {n: spark.read.parquet(f"{place}/{n}") for n in ("recipes", "chunks", "manifest", "head")}
+
+    def read_with(**changed):
+        where = f"{place}-{len(list(tmp_path.iterdir()))}"
+        for n, table in (tables | changed).items():
+            table.write.parquet(f"{where}/{n}")
+        return [r["verified"] for r in token_store.read_store(spark, where).collect()]
+
+    recipes = tables["recipes"]
+    one = F.col("row") == 0
+    lost = recipes.where("doc_id IS NULL OR doc_id NOT IN (3, 7)")
+    assert not any(read_with(recipes=lost)) and all(read_with())
+    assert not any(read_with(recipes=lost, manifest=token_store._manifest(spark, place).where("part > 0")))
+    assert not any(read_with(recipes=recipes.withColumn("row", -F.col("row"))))
+    assert not any(read_with(recipes=recipes.withColumn("doc_id", F.when(F.col("doc_id") == 5, 6).otherwise(F.col("doc_id")))))
+    assert not any(read_with(recipes=recipes.withColumn("n_tokens", F.col("n_tokens") + F.when(one, 1).otherwise(0))))
+    assert not any(read_with(recipes=recipes.union(recipes.where("doc_id = 9"))))
+    # a chunk that isn't what its digest says, or isn't there, is found where it is used
     low = packs.agg(F.min("bucket")).first()[0]
     wrong = F.concat(F.lit(b"\0" * 32), F.expr("substring(chunk_digests, 33)"))
-    packs.withColumn("chunk_digests", F.when(F.col("bucket") == low, wrong).otherwise(F.col("chunk_digests"))).write.parquet(f"{place}2/chunks")
-    for part in ("recipes", "manifest"):
-        spark.read.parquet(f"{place}/{part}").write.parquet(f"{place}2/{part}")
-    assert not all(r["verified"] for r in token_store.read_store(spark, f"{place}2").collect())
+    for chunks in (packs.withColumn("chunk_digests", F.when(F.col("bucket") == low, wrong).otherwise(F.col("chunk_digests"))), packs.where(F.col("bucket") != low)):
+        assert set(read_with(chunks=chunks)) == {True, False}
+
+
+def test_wide_ids_and_roots(spark, docs, library, tmp_path):
+    place = "file://" + str(tmp_path / "wide")
+    some = docs.where("doc_id < 12")
+    got = token_store.store_and_read(some, word_vocabulary(), place, end_id=70_000).collect()
+    assert spark.read.parquet(f"{place}/head").first()["id_bytes"] == 4
+    want = Counter(zlib.crc32(plain_ids(library, t)[:-4] + (70_000).to_bytes(4, "little")) for _, t in plain_rows(some))
+    assert Counter(r["ids_crc32"] for r in got) == want and all(r["verified"] for r in got)
+
+    def plain_root(level):
+        while len(level) > 1:
+            level = [hashlib.sha256(b"\x01" + b"".join(level[i : i + 2])).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+        return level[0] if level else hashlib.sha256(b"").digest()
+
+    for n in (*range(12), 33):
+        leaves = [bytes([i]) * 32 for i in range(n)]
+        assert token_store.merkle_root(iter(leaves)) == plain_root(leaves)
 
 
 def test_crc_of_parts():
@@ -269,9 +324,48 @@ def test_base_patterns_as_they_are_written(texts, spark):
         assert [(a, k, b) for k, a, b in secret_scan.candidate_spans(t) if k <= 2] == want
 
 
+def test_links_are_those_of_all_pairs(spark):
+    import random
+
+    rng = random.Random(2)
+    parts = ["Xk29sLqPw83nMzRt56VbQa", "client_id: web-front", "https://api.example.com/v1", "password: hunter2x", "\n\n", "plain words here " * 4, "0123456789abcdef01234567", "key=Zk29sLqPw83nMzRt56VbQb"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randint(1, 30))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    role = [secret_scan._ROLE[k] for k in secret_scan.KINDS]
+    masked = {r["doc_id"]: r["text"] for r in secret_scan.redacted(docs, gap=60).collect()}
+    for r in secret_scan.secret_spans(docs, gap=60).collect():
+        text = texts[r["doc_id"]]
+        spans = secret_scan.candidate_spans(text)
+        breaks = [m.start() for m in re.finditer(r"\n[\x20\t\r]*\n", text)]
+        scope = lambda a: sum(b < a for b in breaks)  # noqa: E731, B023
+        near = lambda x, y: scope(x[1]) == scope(y[1]) and x != y and (x[1] - y[2] <= 60 if y[1:] + y[:1] < x[1:] + x[:1] else y[1] - x[2] <= 60)  # noqa: E731, B023
+        fits = lambda x, y: (role[y[0]] != "secret") if role[x[0]] == "secret" else role[y[0]] == "secret"
+        want = [x for x in spans if x[0] > 2 and any(near(x, y) and fits(x, y) for y in spans)]
+        linked = sorted((s["kind"], s["start"], s["end"]) for s in r["linked"])
+        assert linked == sorted(want)
+        hidden = list(text)
+        for a, b in sorted({*((s["start"], s["end"]) for s in [*r["base"], *r["linked"]])}, reverse=True):
+            hidden[a:b] = ["\0"] * (b - a)
+        assert re.sub("\\[secret\\]", "", masked[r["doc_id"]]) == "".join(hidden).replace("\0", "")
+
+
+def test_many_spans_take_no_square_of_time():
+    import time
+
+    text = " ".join(f"client_id: web-{i}, Xk29sLqPw83nMzRt56V{i:05d}" for i in range(40_000))
+    began = time.perf_counter()
+    assert len(secret_scan.candidate_spans(text)) == 80_000
+    assert time.perf_counter() - began < 10
+
+
 # 7 ---------------------------------------------------------------------------------------
 
 
+def test_counts_beyond_32_bits():
+    for n in ([], [1, 2**32 - 1], [5, 2**32, 2**40]):
+        assert ngram_model._widened(ngram_model._narrow(np.array(n, np.int64)), len(n)).tolist() == n
+
+
 def test_ngram_model(docs):
     rows = [(k, (t or "").encode().lower().split() + [b"\n"]) for k, t in plain_rows(docs)]
     held = F.coalesce(F.col("doc_id"), F.lit(1)) % 5 == 0
@@ -337,6 +431,19 @@ def test_nearest(spark):
     assert permutation_index.nearest(table.limit(0)).count() == 0
 
 
+def test_repeated_queries_lose_no_place(spark):
+    x = np.random.default_rng(1).normal(size=(400, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    table = spark.createDataFrame([*rows, rows[50], rows[50], (100, x[7].tolist())], "vec_id long, embedding array<double>")
+    got = permutation_index.nearest(table, table.where("vec_id IN (50, 100)")).collect()
+    lists = defaultdict(list)
+    for r in got:
+        lists[r["query_id"]].append((r["rank"], r["vec_id"]))
+    assert sorted(k for k, _ in lists[50]) == [1, 2, 3, 4, 5] and len({v for _, v in lists[50]}) == 5
+    assert sorted(k for k, _ in lists[100]) == sorted([1, 2, 3, 4, 5] * 2)  # two vectors share the id
+    assert (1, 7) in lists[100]
+
+
 # 9 ---------------------------------------------------------------------------------------
 
 
@@ -414,6 +521,40 @@ def test_quality_ratio_parts_kinds_of_text(spark):
     assert all(r["kept"] and r["ratio"] is None for r in none)
 
 
+def test_quality_ratio_is_that_of_the_formula(docs):
+    good = docs.where("doc_id % 3 = 0").select("doc_id")
+    rows = [(k, re.findall("[^\x20\x09-\x0d]+", t or "")) for k, t in plain_rows(docs)]
+    known = {w: xxhash.xxh64_intdigest(w.encode(), 42) for _, ws in rows for w in ws}
+
+    def buckets(ws):
+        signed = lambda h: h - 2**64 if h >= 2**63 else h
+        two = zip(ws, [*ws[1:], None])
+        out = [signed(known[w]) % 16384 for w in ws]
+        for w, v in two:
+            h = known[w] if v is None else xxhash.xxh64_intdigest(v.encode(), known[w])
+            out.append(signed(xxhash.xxh64_intdigest((2).to_bytes(4, "little"), h)) % 16384)
+        return out
+
+    raw, target = Counter(), Counter()
+    for k, ws in rows:
+        raw.update(b := buckets(ws))
+        if k is not None and k % 3 == 0:
+            target.update(b)
+    share = lambda c, b: c[b] / sum(c.values()) + quality_rules.SMOOTHING
+    want = sorted((str(k), round(sum(math.log(share(target, b) / share(raw, b)) for b in buckets(ws)) / (2 * len(ws)), 9)) for k, ws in rows if ws)
+    got = quality_rules.quality_rules(docs, good).collect()
+    assert sorted((str(r["doc_id"]), round(r["ratio"], 9)) for r in got if r["n_words"]) == want
+    assert all(r["kept"] == (not r["base_failed"] and r["ratio"] >= -0.1) for r in got if r["n_words"])
+
+
+def test_quality_verdicts_keep_as_the_corpus_grows(spark, docs):
+    good = docs.where("doc_id % 3 = 0").select("doc_id")
+    more = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("copy")).withColumn("doc_id", F.col("doc_id") + F.col("copy") * 1000)
+    one = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(docs.where("doc_id > 0"), good).collect()}
+    many = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(more.where("doc_id % 1000 > 0"), good).collect()}
+    assert len(set(one.values())) == 2 and all(many[k] == v for k, v in one.items())
+
+
 # empty tables ----------------------------------------------------------------------------
 
 
