@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from typing import NamedTuple
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,6 +23,7 @@ STAGE_RANGES = {
     "update_graph": (98.0, 100.0),
 }
 RECENT_SECONDS, MOST_SAMPLES, LONGEST = 90.0, 120, 7 * 24 * 3600.0
+LEAST_RISE = 1e-6
 
 
 def overall_percent(stage: Column, current: Column, total: Column) -> tuple[Column, Column]:
@@ -34,46 +41,79 @@ def running_percent(samples: DataFrame, key: str, order: list[str], value: str)
     return samples.withColumn("shown", F.max(value).over(w))
 
 
-def accepted(samples: DataFrame) -> DataFrame:
-    """Samples (run, i, elapsed, percent) that move forward in time and by over 1e-6.
+class Trail(NamedTuple):
+    """The last samples of a run that moved forward, and its smoothed remaining seconds."""
 
-    A sample counts if its percent exceeds the last accepted one; as accepted percents rise,
-    that is the greatest before it, up to differences below the step.
-    """
-    w = Window.partitionBy("run").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    before, time = F.max("percent").over(w), F.max("elapsed").over(w)
-    return samples.select("*", (F.coalesce(F.col("percent") > before + 1e-6, F.lit(True)) & F.coalesce(F.col("elapsed") >= time, F.lit(True))).alias("taken"))
+    times: tuple[float, ...] = ()
+    parts: tuple[float, ...] = ()
+    eta: float | None = None
+
+
+def moved(trail: Trail, elapsed: float, percent: float) -> Trail | None:
+    """The trail with a sample more; None if it lies before the last one or rises by no more
+    than ``LEAST_RISE``."""
+    if trail.times and not (elapsed >= trail.times[-1] and percent > trail.parts[-1] + LEAST_RISE):
+        return None
+    return trail._replace(times=(*trail.times, elapsed)[-MOST_SAMPLES:], parts=(*trail.parts, percent)[-MOST_SAMPLES:])
+
+
+def unsmoothed(trail: Trail, elapsed: float, percent: float) -> float | None:
+    """Seconds left at the speed since the start, mixed with that of the recent samples."""
+    if percent >= 100:
+        return 0.0
+    first = bisect_left(trail.times, elapsed - RECENT_SECONDS) % max(len(trail.times), 1)
+    if len(trail.times) < 2 or elapsed < 4 or percent < 0.5:
+        return None
+    seconds, rise = elapsed - trail.times[first], percent - trail.parts[first]
+    speeds = [percent / max(elapsed, 1e-9)]
+    if seconds >= 2 and rise >= 0.05:
+        speeds.append(rise / seconds)
+    speed = speeds[0] if len(speeds) == 1 else 0.3 * speeds[0] + 0.7 * speeds[1]
+    return min((100 - percent) / speed, LONGEST) if speed > 1e-9 else None
+
+
+def told(trail: Trail, elapsed: float, percent: float) -> tuple[Trail, float | None]:
+    """The trail with its smoothed value after a sample, and what is shown: none while unknown."""
+    new = unsmoothed(trail, elapsed, percent)
+    if new is not None and trail.eta is not None and percent < 100:
+        new = trail.eta + (0.35 if new > trail.eta else 0.18) * (new - trail.eta)  # slowing down counts more
+    return (trail if new is None else trail._replace(eta=new)), new
+
+
+def fold(trail: Trail, samples: Iterable[tuple[int, float, float]]) -> Iterator[tuple[Trail, int, float | None]]:
+    """The trail after each sample (i, elapsed, percent) that is taken, its ``i`` and what is
+    shown. Values are brought into their ranges first."""
+    for i, elapsed, percent in samples:
+        elapsed, percent = max(0.0, elapsed), min(max(0.0, percent), 100.0)
+        longer = moved(trail, elapsed, percent)
+        if longer is not None:
+            trail, shown = told(longer, elapsed, percent)
+            yield trail, i, shown
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by run and ``i``; only the trail of the run at hand is held."""
+    run, trail = None, Trail()
+    for batch in batches:
+        out = []
+        rows = zip(*(batch.column(c).to_pylist() for c in ("run", "i", "elapsed", "percent")))
+        for key, own in groupby(rows, key=lambda r: r[0]):
+            run, trail = key, trail if key == run else Trail()
+            for trail, i, shown in fold(trail, (r[1:] for r in own)):  # noqa: B020
+                out.append((key, i, shown))
+        columns = zip(*out) if out else ((), (), ())
+        types = (batch.schema.field("run").type, pa.int32(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["run", "i", "eta"])
 
 
 def remaining(samples: DataFrame) -> DataFrame:
-    """The smoothed remaining seconds after each accepted sample, null where unknown.
+    """``run, i, eta``: the smoothed remaining seconds after each sample that is taken, null
+    where unknown.
 
-    Samples are (run, i, elapsed, percent) and in order of ``i``. A fold over each run's
-    own samples; runs are independent.
+    Samples are (run, i, elapsed, percent); they are folded in order of ``i``, each compared
+    with the last one taken of its run. Rows with a null in these columns take no part. A
+    task goes through its runs in order and holds the last samples of one.
     """
-    good = accepted(samples).where("taken")
-    n = Window.partitionBy("run").orderBy("i")
-    numbered = good.select("run", "i", "elapsed", "percent", F.row_number().over(n).alias("k"))
-    near = Window.partitionBy("run").orderBy("elapsed").rangeBetween(-int(RECENT_SECONDS), 0)
-    last = Window.partitionBy("run").orderBy("i").rowsBetween(-(MOST_SAMPLES - 1), 0)
-    oldest = numbered.select("*", F.min(F.struct("k", "elapsed", "percent")).over(near).alias("near"), F.min(F.struct("k", "elapsed", "percent")).over(last).alias("kept"))
-    start = F.greatest("near", "kept")
-    dt, dp = F.col("elapsed") - start["elapsed"], F.col("percent") - start["percent"]
-    slow = F.col("percent") / F.greatest("elapsed", F.lit(1e-9))
-    recent = F.when((dt >= 2.0) & (dp >= 0.05), dp / dt)
-    rate = F.when(recent > 0, recent * 0.7 + slow * 0.3).otherwise(slow)
-    known = (F.col("elapsed") >= 4.0) & (F.col("percent") >= 0.5) & (F.col("k") >= 2) & (rate > 1e-9)
-    raw = F.when(F.col("percent") >= 100.0, F.lit(0.0)).when(known, F.least(F.greatest((100.0 - F.col("percent")) / rate, F.lit(0.0)), F.lit(LONGEST)))
-    rows = oldest.select("run", "i", "percent", raw.alias("raw"))
-    listed = rows.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("i", "percent", "raw"))).alias("s"))
-    empty = F.struct(F.lit(None).cast("double").alias("eta"), F.array().cast("array<struct<i:int,eta:double>>").alias("out"))
-
-    def step(acc, x):
-        up = x["raw"] > acc["eta"]
-        smooth = F.when(acc["eta"].isNull(), x["raw"]).when(up, 0.35 * x["raw"] + 0.65 * acc["eta"]).otherwise(0.18 * x["raw"] + (1 - 0.18) * acc["eta"])
-        eta = F.when(x["percent"] >= 100.0, F.lit(0.0)).when(x["raw"].isNull(), acc["eta"]).otherwise(smooth)
-        shown = F.when(x["raw"].isNotNull(), eta)
-        return F.struct(eta.alias("eta"), F.concat(acc["out"], F.array(F.struct(x["i"].cast("int").alias("i"), shown.alias("eta")))).alias("out"))
-
-    folded = listed.select("run", F.aggregate("s", empty, step, lambda a: a["out"]).alias("out"))
-    return folded.select("run", F.explode("out").alias("o")).select("run", "o.i", "o.eta")
+    rows = samples.select("run", F.col("i").cast("int").alias("i"), F.col("elapsed").cast("double").alias("elapsed"), F.col("percent").cast("double").alias("percent")).na.drop()
+    kind = rows.schema["run"].dataType.simpleString()
+    return rows.repartition("run").sortWithinPartitions("run", "i", "elapsed", "percent").mapInArrow(_folded, f"run {kind}, i int, eta double")
