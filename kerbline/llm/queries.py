@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ngram_model, toxicity
+from .corpus_sql import LINE_DEDUP, vector_codes_sql
+from .line_dedup import line_dedup
 from .mixing import mix_sources
 from .packing import pack_documents
 from .permutation_index import nearest
 from .quality_rules import quality_rules
 from .secret_scan import listed, secret_spans
 from .simhash_dedup import simhash_groups
+from .spelling_variants import spelling_variants
 from .substring_dedup import substring_dedup
 from .token_store import store_and_read
+from .vector_codes import books_digest, vector_codes
 
 
 def word_vocabulary() -> str:
@@ -94,6 +98,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), good)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = vector_codes(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("codebooks_sha256", F.lit(books_digest(books)))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_simhash_dedup": op2_simhash_dedup,
@@ -105,7 +123,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_permutation_index": op8_permutation_index,
     "op9_toxicity_crf": op9_toxicity_crf,
     "op10_quality_rules": op10_quality_rules,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_line_dedup": op13_line_dedup,
 }
 
-#: None of these can be put as SQL that runs on whole tables; tests/llm holds brute-force versions.
-ORACLE: dict[str, str] = {}
+#: The others can't be put as SQL that runs on whole tables; tests/llm holds brute-force versions.
+ORACLE: dict[str, str] = {"op11_vector_codes": vector_codes_sql(), "op13_line_dedup": LINE_DEDUP}
