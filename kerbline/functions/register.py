@@ -13,16 +13,11 @@ from . import shapes
 
 
 def register(spark: SparkSession) -> None:
-    """Registers all of them in this session, as functions over Arrow batches."""
-
-    @F.pandas_udf("double")
-    def tile_x(lon: pd.Series, zoom: pd.Series) -> pd.Series:
-        return (lon + 180.0) / 360.0 * 2.0**zoom
-
-    @F.pandas_udf("double")
-    def tile_y(lat: pd.Series, zoom: pd.Series) -> pd.Series:
-        phi = np.radians(lat.clip(-MAX_LATITUDE, MAX_LATITUDE))
-        return (1.0 - np.log(np.tan(phi) + 1.0 / np.cos(phi)) / np.pi) / 2.0 * 2.0**zoom
+    """Registers all of them in this session: the tile maths as SQL functions, which stay in
+    the JVM, the others over Arrow batches."""
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION kb_tile_x(lon DOUBLE, zoom INT) RETURNS DOUBLE RETURN (lon + 180D) / 360D * power(2D, zoom)")
+    phi = f"radians(greatest({-MAX_LATITUDE}D, least({MAX_LATITUDE}D, lat)))"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION kb_tile_y(lat DOUBLE, zoom INT) RETURNS DOUBLE RETURN (1D - ln(tan({phi}) + 1D / cos({phi})) / pi()) / 2D * power(2D, zoom)")
 
     @F.pandas_udf("double")
     def narrow_width(widths: pd.Series) -> pd.Series:
@@ -36,5 +31,5 @@ def register(spark: SparkSession) -> None:
         rows = zip(xs, ys, cx, cy, dx, dy)
         return pd.Series([shapes.cross_section(np.array([a, b]), np.array([c, d]) / np.hypot(c, d), np.stack([x, y], 1), half) for x, y, a, b, c, d in rows], dtype=float)
 
-    for name, f in (("kb_tile_x", tile_x), ("kb_tile_y", tile_y), ("kb_narrow_width", narrow_width), ("kb_cross_section", cross_section)):
+    for name, f in (("kb_narrow_width", narrow_width), ("kb_cross_section", cross_section)):
         spark.udf.register(name, f)

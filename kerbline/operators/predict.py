@@ -2,7 +2,8 @@
 
 A predictor is any object with ``load()`` (once a worker) and ``logits(image)`` giving
 (classes, h, w) for a float image (3, H, W). The first of its outputs is used if there are
-several. ``StoredLogits`` is a stand-in whose image bytes are the logits themselves.
+several. One that takes many images at once has ``logits_of(images)``, giving (n, classes,
+h, w) for (n, 3, H, W), and ``batch``, how many. One with a true ``raw`` gets the bytes.
 """
 
 from __future__ import annotations
@@ -26,20 +27,6 @@ class Predictor(Protocol):
     def logits(self, image: np.ndarray): ...
 
 
-class StoredLogits:
-    """Takes the image's bytes as float32 logits of shape (4, n, n)."""
-
-    raw = True
-
-    def load(self) -> None:
-        pass
-
-    def logits(self, image: bytes) -> np.ndarray:
-        flat = np.frombuffer(image, "<f4")
-        n = int(round((len(flat) // 4) ** 0.5))
-        return flat.reshape(4, n, n)
-
-
 def preprocessed(rgb: np.ndarray) -> np.ndarray:
     """An 8-bit image (H, W, 3) as normalised float32 (3, H, W)."""
     scaled = (rgb.astype(np.float32) / 255 - np.float32(IMAGE_MEAN)) / np.float32(IMAGE_STD)
@@ -62,29 +49,74 @@ def class_mask(logits: np.ndarray, height: int, width: int) -> np.ndarray:
     return resized(np.asarray(logits, np.float32), height, width).argmax(0).astype(np.uint8)
 
 
+def _first_output(got):
+    return got[0] if isinstance(got, (list, tuple)) else got
+
+
+def _together(predictor: Predictor, images: list) -> list:
+    """The logits of images, by one call if the network takes many."""
+    if not hasattr(predictor, "logits_of"):
+        return [_first_output(predictor.logits(x)) for x in images]
+    got = list(_first_output(predictor.logits_of(np.stack(images) if isinstance(images[0], np.ndarray) else images)))
+    if len(got) != len(images):
+        raise ValueError(f"{len(got)} outputs for {len(images)} images")
+    return got
+
+
+def _each(predictor: Predictor, images: list) -> list:
+    """The logits of each image, or what it failed with. A call for many images that fails is
+    tried again by halves, so that only images that fail alone are lost."""
+    try:
+        return _together(predictor, images)
+    except Exception as e:  # one bad tile must not end the others
+        half = len(images) // 2
+        return _each(predictor, images[:half]) + _each(predictor, images[half:]) if half else [e]
+
+
 def predict_masks(images: DataFrame, predictor: Predictor, done: DataFrame | None = None, size: int = TILE_SIZE) -> DataFrame:
     """(z, x, y, mask, error) of ``images`` (z, x, y, content binary of 8-bit RGB rows).
 
     Tiles in ``done`` are skipped. A tile that fails has a null mask and its error; the
-    others go on.
+    others go on. Images are put together for one call across Arrow batches.
     """
     todo = images if done is None else images.join(done.select(*TILE_KEY), TILE_KEY, "left_anti")
+    at_once = int(getattr(predictor, "batch", 1)) if hasattr(predictor, "logits_of") else 1
+
+    def decoded(content):
+        if getattr(predictor, "raw", False):
+            return content
+        return preprocessed(np.frombuffer(content, np.uint8).reshape(size, size, 3))
+
+    def rows_of(held: list[tuple]) -> pd.DataFrame:
+        ready, out = [], {}
+        for k, (*_, content) in enumerate(held):
+            try:
+                ready.append((k, decoded(content)))
+            except Exception as e:  # one bad tile must not end the others
+                out[k] = e
+        if ready:
+            out |= zip((k for k, _ in ready), _each(predictor, [x for _, x in ready]))
+        rows = []
+        for k, (z, x, y, _) in enumerate(held):
+            try:
+                if isinstance(out[k], Exception):
+                    raise out[k]
+                rows.append((z, x, y, class_mask(out[k], size, size).tobytes(), None))
+            except Exception as e:  # logits of a wrong shape, too
+                rows.append((z, x, y, None, f"{type(e).__name__}: {e}"[:500]))
+        return pd.DataFrame(rows, columns=["z", "x", "y", "mask", "error"])
 
     def run(batches):
         predictor.load()
+        held: list[tuple] = []
         for b in batches:
-            masks, errors = [], []
-            for content in b["content"]:
-                try:
-                    image = content if getattr(predictor, "raw", False) else preprocessed(np.frombuffer(content, np.uint8).reshape(size, size, 3))
-                    got = predictor.logits(image)
-                    first = got[0] if isinstance(got, (list, tuple)) else got
-                    masks.append(class_mask(first, size, size).tobytes())
-                    errors.append(None)
-                except Exception as e:  # one bad tile must not end the others
-                    masks.append(None)
-                    errors.append(f"{type(e).__name__}: {e}"[:500])
-            yield pd.DataFrame({"z": b["z"], "x": b["x"], "y": b["y"], "mask": masks, "error": errors})
+            for row in zip(b["z"], b["x"], b["y"], b["content"]):
+                held.append(row)
+                if len(held) == at_once:
+                    yield rows_of(held)
+                    held = []
+        if held:
+            yield rows_of(held)
 
     return todo.select(*TILE_KEY, "content").mapInPandas(run, _OUT)
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
 from typing import NamedTuple
 
@@ -22,6 +22,8 @@ STAGE_RANGES = {
     "calculate_widths": (68.0, 98.0),
     "update_graph": (98.0, 100.0),
 }
+
+# Fixed values of the estimate: how far back speeds are looked at and how they are mixed.
 RECENT_SECONDS, MOST_SAMPLES, LONGEST = 90.0, 120, 7 * 24 * 3600.0
 LEAST_RISE = 1e-6
 
@@ -35,6 +37,23 @@ def overall_percent(stage: Column, current: Column, total: Column) -> tuple[Colu
     return part * 100.0, span[0] + (span[1] - span[0]) * part
 
 
+class RunProgress:
+    """Tells a listener how far a run is, as ``stage, current, total, percent``.
+
+    The percent of the run never falls, whatever order counts come in."""
+
+    def __init__(self, listen: Callable[[dict], None] | None = None):
+        self.listen, self.percent = listen, 0.0
+
+    def at(self, stage: str, current: float, total: float) -> float:
+        low, high = STAGE_RANGES[stage]
+        safe = max(1, total)
+        self.percent = max(self.percent, low + (high - low) * min(max(0, current), safe) / safe)
+        if self.listen is not None:
+            self.listen({"stage": stage, "current": current, "total": total, "percent": self.percent})
+        return self.percent
+
+
 def running_percent(samples: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """Progress that never falls: the greatest value so far."""
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

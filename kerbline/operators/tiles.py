@@ -130,3 +130,22 @@ def pixel_points(points: DataFrame, extents: DataFrame, zoom: int = ZOOM, size:
     px = (tile_x(F.col("lon"), zoom) - F.col("min_x")) * size
     py = (tile_y(F.col("lat"), zoom) - F.col("min_y")) * size
     return points.join(extents, KEY).select(*points.columns, px.alias("px"), py.alias("py"))
+
+
+def mosaics(tiles: DataFrame, size: int = TILE_SIZE) -> DataFrame:
+    """The extent of each edge's mosaic and its name; edges with the same extent share it."""
+    return mosaic_extents(tiles, size).withColumn("mosaic", F.concat_ws("_", "min_x", "min_y", "max_x", "max_y"))
+
+
+def mosaic_lines(edges: DataFrame, named: DataFrame, zoom: int = ZOOM, size: int = TILE_SIZE) -> DataFrame:
+    """``feature_idx, part_idx, mosaic, line``: each edge in pixels of its mosaic, as one flat array."""
+    points = pixel_points(valid_positions(edges).select(*KEY, F.posexplode("coords").alias("i", "p")).select(*KEY, "i", "p.lon", "p.lat"), named.select(*KEY, "mosaic", "min_x", "min_y"), zoom, size)
+    flat = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "px", "py"))), lambda s: F.array(s["px"], s["py"])))
+    lines = points.groupBy(*KEY).agg(flat.alias("line"))
+    return lines.join(named.select(*KEY, "mosaic"), KEY).select(*KEY, "mosaic", "line")
+
+
+def mosaic_cells(named: DataFrame) -> DataFrame:
+    """``mosaic, x, y``: a row for each tile of each mosaic."""
+    span = lambda a: F.explode(F.sequence(f"min_{a}", f"max_{a}"))
+    return named.select("mosaic", "min_x", "min_y", "max_x", "max_y").distinct().withColumn("x", span("x")).withColumn("y", span("y")).select("mosaic", "x", "y")

@@ -45,6 +45,7 @@ WIDTH = T.StructType(
 )
 
 
+# The defaults below.
 @dataclass(frozen=True)
 class WidthParams:
     """The tunables of width measurement, at their production values."""

@@ -1,14 +1,80 @@
-"""Path networks as GeoJSON text, read and written by JSON functions."""
+"""Path networks as GeoJSON: files of any size by the data source, texts by JSON functions."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from dataclasses import asdict
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import geojson
+from .shared import kept
+
 _KNOWN = {"": None, "4326": "degrees", "CRS84": "degrees", "3857": "metres"}
 _POINTS = "array<array<double>>"
 
 
+def read_features(spark: SparkSession, path: str, range_bytes: int = geojson.RANGE_BYTES) -> DataFrame:
+    """``crs, feature_idx, feature``: the features of all GeoJSON collections and
+    newline-delimited files at a path, as texts, numbered from 0.
+
+    Tasks read ranges of bytes, so one large file is the work of many. The files are planned
+    now and mustn't change before they are read.
+    """
+    spark.dataSource.register(geojson.GeoJson)
+    ranges = geojson.planned(path, spark, range_bytes)
+    return spark.read.format("geojson").option("ranges", json.dumps([asdict(r) for r in ranges])).load(path)
+
+
+def parsed(feats: DataFrame) -> DataFrame:
+    """``crs, feature_idx, geometry, properties`` of feature texts."""
+    shape = "struct<properties:string,geometry:struct<type:string,coordinates:string>>"
+    return feats.select("crs", "feature_idx", F.from_json("feature", shape).alias("f")).select("crs", "feature_idx", "f.geometry", "f.properties")
+
+
+def write_collection(feats: DataFrame, path: str, crs: str = "CRS84") -> None:
+    """One GeoJSON file of the texts ``feature``, in the order of ``feature_idx``; it must not
+    exist already."""
+    feats.sparkSession.dataSource.register(geojson.GeoJson)
+    feats.select("feature_idx", "feature").orderBy("feature_idx").write.format("geojson").mode("append").option("crs", crs).save(path)
+
+
+def _with_width(field: str):
+    def number(value) -> float | None:
+        if isinstance(value, bool) or not isinstance(value, (int, float, str)):
+            return None
+        try:
+            return float(value)
+        except ValueError:
+            return None
+
+    def one(text: str, new: float | None) -> str:
+        feature = json.loads(text)
+        props = feature.get("properties") or {}
+        props[field] = number(props.get(field)) if new is None else new
+        feature["properties"] = props
+        return json.dumps(feature, ensure_ascii=False, separators=(",", ":"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [one(t, w) for t, w in zip(batch.column("feature").to_pylist(), batch.column("new_width").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("feature_idx"), pa.array(texts, pa.string())], names=["feature_idx", "feature"])
+
+    return run
+
+
+def updated_texts(feats: DataFrame, widths: DataFrame, field: str = "Width") -> DataFrame:
+    """``feature_idx, feature`` with the median width of each feature's parts, by the rules of
+    ``updated_features``; geometry of any kind and other properties stay."""
+    per = kept(feature_widths(widths), "graph-widths")
+    if per.isEmpty():
+        return feats.select("feature_idx", "feature")
+    return feats.select("feature_idx", "feature").join(per, "feature_idx", "left").mapInArrow(_with_width(field), "feature_idx long, feature string")
+
+
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """Whole GeoJSON files, a row each, in a column ``text``."""
     return spark.read.text(path, wholetext=True).withColumnRenamed("value", "text")
@@ -56,6 +122,11 @@ def write_features(edges_: DataFrame, path: str) -> None:
     feature_text(edges_).select("feature").write.mode("errorifexists").text(path)
 
 
+def feature_widths(widths: DataFrame) -> DataFrame:
+    """``feature_idx, new_width``: the median of the widths that are known, in centimetres."""
+    return widths.where("width_m IS NOT NULL").groupBy("feature_idx").agg((F.rint(F.median("width_m") * 100) / 100).alias("new_width"))
+
+
 def updated_features(feats: DataFrame, widths: DataFrame, field: str = "Width") -> DataFrame:
     """``feats`` with the median width of their parts in ``field``.
 
@@ -63,7 +134,7 @@ def updated_features(feats: DataFrame, widths: DataFrame, field: str = "Width")
     and no column is added; else features without one keep their old value as a number,
     or null where it is none. Widths of unknown features are ignored.
     """
-    per = widths.where("width_m IS NOT NULL").groupBy("feature_idx").agg((F.rint(F.median("width_m") * 100) / 100).alias("new_width"))
+    per = kept(feature_widths(widths), "graph-widths")  # whether it is empty mustn't cost the plan twice
     if per.isEmpty():
         return feats
     old = F.expr(f"try_cast(`{field}` AS DOUBLE)") if field in feats.columns else F.lit(None).cast("double")

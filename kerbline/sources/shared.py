@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where the session names none (tests on one machine) a
-    temporary one is set."""
+    """``spark.checkpoint.dir``; only where the session names none and runs on one machine
+    (as in tests) a temporary one is set. On a cluster it is an error."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="kerbline-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 

@@ -8,7 +8,7 @@ import pytest
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 sys.path.insert(0, ROOT)
-os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")  # for Python workers
+os.environ["PYTHONPATH"] = ROOT + os.pathsep + str(Path(__file__).resolve().parent) + os.pathsep + os.environ.get("PYTHONPATH", "")  # for Python workers
 
 
 @pytest.fixture(scope="session")

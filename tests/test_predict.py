@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+import stand_ins
 from pyspark.sql import functions as F
 
 from kerbline.functions.register import register
@@ -12,15 +13,40 @@ def test_masks_from_stored_logits(spark):
     x = np.zeros((4, 2, 2), "<f4")
     x[2, 0, 0] = x[1, 1, 1] = 5
     rows = spark.createDataFrame([(20, 1, 1, x.tobytes()), (20, 1, 2, b"bad"), (20, 1, 3, x.tobytes())], "z int, x long, y long, content binary")
-    got = {r["y"]: r for r in predict.predict_masks(rows, predict.StoredLogits(), rows.where("y = 3"), size=4).collect()}
+    got = {r["y"]: r for r in predict.predict_masks(rows, stand_ins.StoredLogits(), rows.where("y = 3"), size=4).collect()}
     assert set(got) == {1, 2}
     mask = np.frombuffer(got[1]["mask"], np.uint8).reshape(4, 4)
     assert mask[0, 0] == 2 and mask[3, 3] == 1 and mask[0, 3] == 0
     assert got[2]["mask"] is None and got[2]["error"]
 
 
+@pytest.mark.parametrize("batch", [1, 2, 5, 64])
+def test_images_of_several_batches_go_in_one_call(spark, batch):
+    rng = np.random.default_rng(2)
+    rows = [(20, 1, y, rng.normal(size=(4, 2, 2)).astype("<f4").tobytes()) for y in range(23)]
+    rows[7] = (20, 1, 7, np.full((4, 2, 2), np.nan, "<f4").tobytes())
+    rows[8] = (20, 1, 8, b"bad")
+    images = spark.createDataFrame(rows, "z int, x long, y long, content binary").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        alone = {r["y"]: r["mask"] for r in predict.predict_masks(images, stand_ins.Refusing(), size=4).collect()}
+        counted = stand_ins.Together(batch, spark.sparkContext.accumulator(0))
+        got = {r["y"]: (r["mask"], r["error"]) for r in predict.predict_masks(images, counted, size=4).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {y: m for y, (m, _) in got.items()} == alone and sum(m is None for m in alone.values()) == 2
+    assert "refused" in got[7][1] and got[8][1]
+
+    def calls(low, high):
+        whole = high - low == 1 or not {7, 8} & set(range(low, high))
+        half = low + (high - low) // 2
+        return 1 if whole else 1 + calls(low, half) + calls(half, high)
+
+    assert counted.calls.value == sum(calls(k, min(k + batch, 23)) for k in range(0, 23, batch))
+
+
 def test_two_outputs_use_the_first():
-    class Two(predict.StoredLogits):
+    class Two(stand_ins.StoredLogits):
         def logits(self, image):
             return [super().logits(image), None]
 
