@@ -313,7 +313,7 @@ class _Scorer:
             high, low = (key >> np.uint64(16)).astype(np.uint32), (key & np.uint64(0xFFFF)).astype(np.uint16)
             at = np.searchsorted(f["high"], high)
             end = len(f["high"])
-            for _ in range(4):  # a few entries may share the high half
+            while len(rows):  # as many entries as share the high half
                 ok = at < end
                 i = np.minimum(at, end - 1)
                 hit = ok & (f["high"][i] == high) & (f["low"][i] == low)
@@ -323,8 +323,6 @@ class _Scorer:
                     few = np.where(is_big, f["big_n"][j], few)
                 n[rows[hit]] = few
                 more = ok & ~hit & (f["high"][i] == high)
-                if not more.any():
-                    break
                 rows, high, low, at = rows[more], high[more], low[more], at[more] + 1
         return n
 

@@ -23,6 +23,8 @@ from .common import column_bytes, slices, staged, texts_of, word_hashes, word_sp
 #: Beginnings of words, in bytes, that carry evidence beside the whole word.
 BEGINNINGS = (4, 5, 6, 7)
 BUCKETS = 1 << 20
+#: Tasks that a step of the fit is dealt to, and tokens that a task looks at together.
+CHAIN_TASKS, CHAIN_TOKENS = 16, 1 << 18
 _OUT = "doc_id long, score double, n_toxic_tokens long, spans array<struct<start:int,end:int>>"
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -129,23 +131,60 @@ def marginals(s: np.ndarray, woff: np.ndarray, moves: np.ndarray, pairs: bool =
     return (out, expected) if pairs else out
 
 
-def fit_field(x: np.ndarray, labels: np.ndarray, woff: np.ndarray, steps: int = 40) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and moves by adaptive gradient steps on the likelihood of the token labels."""
-    w, moves = np.array([-3.0, 1.0, 0.0, 0.0]), np.zeros((2, 2))
-    seen = np.zeros((2, 2))
-    same = np.ones(len(labels), bool)
+def gradient_sums(x: np.ndarray, labels: np.ndarray, woff: np.ndarray, w: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Nine sums over some documents: inputs times what labels exceed marginals by, moves of
+    the labels less those expected, and the number of tokens."""
+    seen, same = np.zeros((2, 2)), np.ones(len(labels), bool)
     same[woff[:-1][np.diff(woff) > 0]] = False
     np.add.at(seen, (labels[:-1][same[1:]], labels[1:][same[1:]]), 1)
+    p, expected = marginals(x @ w, woff, moves, pairs=True)
+    return np.concatenate([x.T @ (labels - p), (seen - expected).ravel(), [len(labels)]])
+
+
+def fit_field(sums, steps: int = 40) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and moves by adaptive gradient steps on the likelihood of the token labels;
+    ``sums(w, moves)`` gives the ``gradient_sums`` of all documents."""
+    w, moves = np.array([-3.0, 1.0, 0.0, 0.0]), np.zeros((2, 2))
     gw, gm = np.full(4, 1e-8), np.full((2, 2), 1e-8)
     for _ in range(steps):
-        p, expected = marginals(x @ w, woff, moves, pairs=True)
-        dw = x.T @ (labels - p) / len(labels) - 1e-5 * w
-        dm = (seen - expected) / len(labels) - 1e-5 * moves
+        total = sums(w, moves)
+        dw = total[:4] / max(total[8], 1) - 1e-5 * w
+        dm = total[4:8].reshape(2, 2) / max(total[8], 1) - 1e-5 * moves
         gw, gm = gw + dw * dw, gm + dm * dm
         w, moves = w + 0.5 * dw / np.sqrt(gw), moves + 0.5 * dm / np.sqrt(gm)
     return w, moves
 
 
+def _chains(batches, model: Field):
+    """The evidence of each text's tokens, as one list a row."""
+    for batch in batches:
+        for part in slices(batch):
+            low, st, en, woff, _ = tokens(part)
+            lists = pa.ListArray.from_arrays(pa.array(woff.astype(np.int32)), pa.array(model.evidence(low, st, en)))
+            yield pa.RecordBatch.from_arrays([part.column("toxic"), lists], names=["toxic", "evidence"])
+
+
+def _step(w: np.ndarray, moves: np.ndarray):
+    """One row a task: the sums over its documents, taken ``CHAIN_TOKENS`` or a document at once."""
+
+    def run(batches):
+        total = np.zeros(9)
+        for batch in batches:
+            lists, toxic = batch.column("evidence"), batch.column("toxic").to_numpy(zero_copy_only=False)
+            woff = lists.offsets.to_numpy().astype(np.int64)
+            flat, woff = lists.values.to_numpy(zero_copy_only=False)[woff[0] : woff[-1]], woff - woff[0]
+            start = 0
+            while start < len(toxic):
+                stop = max(start + 1, int(np.searchsorted(woff, woff[start] + CHAIN_TOKENS, "right")) - 1)
+                own, off = flat[woff[start] : woff[stop]], woff[start : stop + 1] - woff[start]
+                label = ((np.repeat(toxic[start:stop], np.diff(off)) == 1) & (own > 1.0)).astype(int)
+                total += gradient_sums(inputs(own, off), label, off, w, moves)
+                start = stop
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+    return run
+
+
 def summaries(p: np.ndarray, woff: np.ndarray) -> np.ndarray:
     """Per document: one, the sum of marginals (as log), the largest, and the density."""
     size = np.diff(woff)
@@ -175,8 +214,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, chain_row
     """Fit on at most ``sample_rows`` labelled rows of ``docs``, those with least hashes.
 
     Half of them (by another hash) give the evidence counts and, from at most
-    ``chain_rows`` whole texts of each class, the field; the others the weights of document
-    scores. Null ids and null labels take no part; of documents that share an id, the one
+    ``chain_rows`` whole texts of each class, the field (each step adds up sums of
+    ``CHAIN_TASKS`` tasks); the others the weights of document scores. Null ids and null labels take no part; of documents that share an id, the one
     whose text comes first in order is the labelled one. With
     no toxic or no clean row every score is low (a fixed prior).
     """
@@ -208,13 +247,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, chain_row
     odds = np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1)) - np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
     model.table[b.astype(np.int64)] = np.maximum(odds, 0)
 
-    first = sample.where("half = 0").orderBy(pick, "doc_id")
-    rows = [r for k in (0, 1) for r in first.where(F.col("toxic") == k).limit(chain_rows).collect()]
-    part = pa.RecordBatch.from_pydict({"text": [r["text"] for r in rows]})
-    low, st, en, woff, _ = tokens(part)
-    ev = model.evidence(low, st, en)
-    doc = np.repeat([r["toxic"] for r in rows], np.diff(woff))
-    model.weights, model.moves = fit_field(inputs(ev, woff), ((doc == 1) & (ev > 1.0)).astype(int), woff)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    first = sample.where("half = 0").select("doc_id", "text", "toxic").orderBy(pick, "doc_id")
+    some = first.where("toxic = 0").limit(chain_rows).union(first.where("toxic = 1").limit(chain_rows))
+    chains = some.repartition(CHAIN_TASKS).mapInArrow(lambda batches: _chains(batches, shared.value), "toxic int, evidence array<float>").persist()
+    try:
+        model.weights, model.moves = fit_field(lambda w, moves: np.sum([r["sums"] for r in chains.mapInArrow(_step(w, moves), "sums array<double>").collect()], axis=0))
+    finally:
+        chains.unpersist()
 
     second = sample.where("half = 1")
     shared = docs.sparkSession.sparkContext.broadcast(model)

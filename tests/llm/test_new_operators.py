@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kerbline.llm import line_dedup, queries, spelling_variants, vector_codes
+from kerbline.llm import line_dedup, ngram_model, queries, spelling_variants, toxicity, vector_codes
 
 SF = "/root/testdata/sf0.01"
 
@@ -248,3 +248,50 @@ def test_op13_query(spark):
     want = [(i, n, d, hashlib.sha256(t.encode()).hexdigest()) for i, n, d, t in plain_lines(rows)]
     got = queries.op13_line_dedup(spark, sf).select("doc_id", "n_lines", "n_dropped", F.col("kept_sha256"))
     assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, want))
+
+
+# 7 and 9 ---------------------------------------------------------------------------------
+
+
+def test_all_counts_that_share_a_half_key_are_found(monkeypatch):
+    low = np.arange(1, 8, dtype=np.uint16)
+    held = {"high": np.array([3] + [5] * 6, np.uint32), "low": low, "few": np.arange(9, 16, dtype=np.uint8), "big_at": np.zeros(0, np.int64), "big_n": np.zeros(0, np.int64)}
+    monkeypatch.setattr(ngram_model, "_file", lambda *_: held)
+    monkeypatch.setattr(ngram_model, "_pair", lambda u, w: u << np.uint64(16))
+    model = ngram_model.NgramModel("", 1, 1, 1, 1, (0, 0, 0), (0, 0, 0), 1.0)
+    asked = np.array([(5 << 16) + k for k in range(2, 9)] + [(3 << 16) + 1, (9 << 16) + 1], np.uint64)
+    assert ngram_model._Scorer(model).pairs(asked, asked).tolist() == [10, 11, 12, 13, 14, 15, 0, 9, 0]
+
+
+def test_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(3)
+    woff = np.array([0, 4, 4, 9, 10])
+    x, labels = rng.normal(size=(10, 4)), rng.integers(0, 2, 10)
+
+    def likelihood(w, moves):
+        total = 0.0
+        for a, b in zip(woff, woff[1:]):
+            weigh = lambda y: sum(y[t] * (x[a + t] @ w) for t in range(b - a)) + sum(moves[y[t], y[t + 1]] for t in range(b - a - 1))  # noqa: E731, B023
+            if b > a:
+                every = [[int(c) for c in f"{k:0{b - a}b}"] for k in range(1 << (b - a))]
+                total += weigh(labels[a:b]) - np.logaddexp.reduce([weigh(y) for y in every])
+        return total
+
+    w, moves, h = rng.normal(size=4), rng.normal(size=(2, 2)), 1e-5
+    got = toxicity.gradient_sums(x, labels, woff, w, moves)
+    for k in range(8):
+        step = np.eye(8)[k] * h
+        up, down = (likelihood(w + sign * step[:4], moves + sign * step[4:].reshape(2, 2)) for sign in (1, -1))
+        assert math.isclose((up - down) / (2 * h), got[k], abs_tol=1e-5)
+    assert got[8] == 10
+
+
+def test_field_is_fitted_alike_in_any_slices(spark, monkeypatch):
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choice(["bad", "worse"] if i % 2 and rng.random() < 0.3 else ["fine", "good", "day", "sun"]) for _ in range(rng.randint(1, 40)))) for i in range(120)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    one = toxicity.fit(docs, labels)
+    monkeypatch.setattr(toxicity, "CHAIN_TOKENS", 7)
+    monkeypatch.setattr(toxicity, "CHAIN_TASKS", 3)
+    two = toxicity.fit(docs, labels)
+    assert np.allclose(one.weights, two.weights) and np.allclose(one.moves, two.moves) and one.weights[1] > 1
