@@ -54,6 +54,8 @@ def line_dedup(docs: DataFrame, least_length: int = 40, least_documents: int = 5
     found = staged(long_lines(rows, least_length), "line-hashes")
     per_document = found.select("h1", "h2", "doc_id").distinct()
     shared = per_document.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= least_documents).select("h1", "h2", "last")
+    # kept, so that the join is between two plain shuffles, of which a hot line's can be split
+    shared = staged(shared, "line-shared")
     surplus = found.join(shared, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("last")))
     drops = surplus.groupBy(F.col("doc_id").alias("d"), F.col("mark").alias("m")).agg(F.collect_set("at").alias("drops"))
 

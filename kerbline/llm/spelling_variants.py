@@ -25,55 +25,51 @@ from pyspark.sql import functions as F
 
 from .common import staged, texts_of
 
-RUN = re.compile("[A-Za-zÀ-ÿ]+")
-_GAP = re.compile("[^A-Za-zÀ-ÿ]")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Maximal runs of letters in UTF-8 with A-Z in lower case; letters beyond ASCII are two bytes.
+_ASCII_RUN, _RUN = re.compile(rb"[a-z]+"), re.compile(rb"(?:[a-z]|\xc3[\x80-\xbf])+")
+_GAP = re.compile(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]")
 #: Letters of a word that say where its halves are looked up; halves of six letters have three.
 ENDS = 3
 #: Words of which a shard's automaton holds halves, and distinct words counted before they are sent.
 SHARD_WORDS, HELD_WORDS = 50_000, 200_000
-#: Code points of a text that are looked at together.
+#: Bytes of a text that are looked at together.
 TEXT_SLICE = 1 << 20
 FIRST, LAST = 0, 1
 
 
-def runs_of(text: str, size: int | None = None) -> Iterator[list[str]]:
-    """The runs of letters of a text, list by list; long texts are cut between runs."""
-    size = size or TEXT_SLICE
-    at = 0
-    while len(text) - at > size:
+def runs_of(text: bytes, size: int | None = None) -> Iterator[list[bytes]]:
+    """The runs of letters of a text, A-Z in lower case, list by list; long texts are cut
+    between runs."""
+    size, at = size or TEXT_SLICE, 0
+    while at < len(text):
         gap = _GAP.search(text, at + size)
         end = gap.start() if gap else len(text)
-        yield RUN.findall(text, at, end)
+        piece = text[at:end].lower()  # of bytes, this changes A-Z alone
+        yield (_ASCII_RUN if piece.isascii() else _RUN).findall(piece)
         at = end
-    yield RUN.findall(text, at)
 
 
 def _counted(modulus: int, least_length: int):
     """Counts of the words of each row, added up over a batch or ``HELD_WORDS`` words."""
 
     def send(total: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
+        words = pa.array(list(total), pa.binary()).cast(pa.string())
+        return pa.RecordBatch.from_arrays([words, pa.array(list(total.values()), pa.int64())], names=["word", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         for batch in batches:
-            for number, text in zip(batch.column("doc_id"), batch.column("text")):
-                number, own = number.as_py(), Counter()
+            for number, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary())):
+                own: Counter = Counter()
                 for runs in runs_of(text.as_py()):
-                    own.update(runs)
-                low: Counter = Counter()
+                    own.update(x for x in runs if len(x) >= least_length)  # no shorter word can count
+                start = zlib.crc32(b":" if number is None else b"%d:" % number)
+                for word in [w for w in own if zlib.crc32(w, start) % modulus == 0]:
+                    n, letters, h = own.pop(word), word.decode(), zlib.crc32(word, start)
+                    k = h % len(letters)
+                    own[(letters[:k] + letters[k + 1 :]).encode()] += n
                 for word, n in own.items():
-                    low[word.translate(_LOWER)] += n
-                mark = b"%d:" % number if number is not None else b":"
-                start = zlib.crc32(mark)
-                for word, n in low.items():
-                    h = zlib.crc32(word.encode(), start)
-                    if h % modulus == 0:
-                        k = h % len(word)
-                        word = word[:k] + word[k + 1 :]  # noqa: PLW2901
-                    if len(word) >= least_length:
-                        total[word] += n
+                    total[word] += n
                 if len(total) >= HELD_WORDS:
                     yield send(total)
                     total = Counter()
@@ -90,32 +86,41 @@ def vocabulary(docs: DataFrame, least_length: int = 6, least_count: int = 5, mod
     document and a word, chosen by the CRC-32 of ``<doc_id>:<word>``, a letter is left out.
     """
     sent = texts_of(docs, id_col, text_col).mapInArrow(_counted(modulus, least_length), "word string, n long")
-    return sent.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count)
+    return sent.where(F.length("word") >= least_length).groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count)
 
 
 def is_near(a: str, b: str) -> bool:
     """Whether exactly one inserted, deleted or replaced letter makes one word the other."""
     if len(a) < len(b):
         a, b = b, a
-    if len(a) - len(b) > 1:
+    more = len(a) - len(b)
+    if more > 1 or a == b:
         return False
-    k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(b))
-    return a[k + 1 :] == b[k + (len(a) == len(b)) :] and a != b
+    low, high = 0, len(b)  # the length of what both begin with, by halving
+    while low < high:
+        k = (low + high + 1) // 2
+        low, high = (k, high) if a[low:k] == b[low:k] else (low, k - 1)
+    return a[low + 1 :] == b[low + 1 - more :]
 
 
 class Shard:
-    """An automaton over halves of words, and by half and length the words that have it."""
+    """An automaton over halves of words, and by half and length the words that have it.
+
+    The other half of a near word holds the changed letter, so of its own two halves one is
+    as it was: words are kept by these quarters, and only words that share one are compared."""
 
     def __init__(self):
-        self.words: dict[tuple[int, str, int], list[tuple[str, int]]] = {}
+        self.words: dict[tuple, list[tuple[str, int]]] = {}
         self.halves: dict[str, int] = {}
         self.automaton = None
 
     def add(self, kind: int, word: str, n: int) -> None:
         cut = len(word) // 2
-        half = word[:cut] if kind == FIRST else word[cut:]
-        self.words.setdefault((kind, half, len(word)), []).append((word, n))
+        half, rest = (word[:cut], word[cut:]) if kind == FIRST else (word[cut:], word[:cut])
         self.halves[half] = self.halves.get(half, 0) | 1 << kind
+        middle = len(rest) // 2
+        for side, quarter in ((FIRST, rest[:middle]), (LAST, rest[middle:])):
+            self.words.setdefault((kind, half, len(word), side, quarter), []).append((word, n))
 
     def close(self) -> None:
         self.automaton = ahocorasick.Automaton()
@@ -128,15 +133,26 @@ class Shard:
         """The near words of ``word``, each found by one of its halves only."""
         if not self.halves:
             return
+        size, get = len(word), self.words.get
         for end, (half, kinds) in self.automaton.iter(word):
             begin = end + 1 - len(half)
-            if not kinds >> kind & 1 or (begin != 0 if kind == FIRST else end + 1 != len(word)):
+            if not kinds >> kind & 1 or (begin != 0 if kind == FIRST else end + 1 != size):
                 continue
-            for size in (len(word) - 1, len(word), len(word) + 1):
-                for other, n in self.words.get((kind, half, size), ()):
-                    if kind == LAST and word.startswith(other[: size // 2]):
-                        continue  # its first half has it
-                    if is_near(word, other):
+            rest = word[end + 1 :] if kind == FIRST else word[:begin]
+            for other_size in (size - 1, size, size + 1):
+                other_rest = other_size - len(half)
+                if (other_size // 2 if kind == FIRST else other_size - other_size // 2) != len(half):
+                    continue
+                middle = other_rest // 2
+                first, last = rest[:middle], rest[len(rest) - (other_rest - middle) :]
+                for other, n in get((kind, half, other_size, FIRST, first), ()):
+                    if is_near(word, other) and not (kind == LAST and word.startswith(other[: other_size // 2])):
+                        yield other, n
+                for other, n in get((kind, half, other_size, LAST, last), ()):
+                    own = other[len(half) :] if kind == FIRST else other[:other_rest]
+                    if own[:middle] == first:
+                        continue  # found by its first quarter
+                    if is_near(word, other) and not (kind == LAST and word.startswith(other[: other_size // 2])):
                         yield other, n
 
 

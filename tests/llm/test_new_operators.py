@@ -184,10 +184,20 @@ def test_spelling_variants_of_nothing(spark):
 
 
 def test_texts_are_cut_between_words():
-    text = "ab, cd" * 50 + "e" * 40 + " f"
-    want = [w for w in re.findall("[A-Za-zÀ-ÿ]+", text)]
+    text = "aB, cd" * 50 + "E" * 40 + " f é日Àß×x ÿ" + "Ā"
+    want = [re.sub("[A-Z]", lambda c: c[0].lower(), w) for w in re.findall("[A-Za-zÀ-ÿ]+", text)]
     for size in (1, 3, 10, 1000):
-        assert [w for part in spelling_variants.runs_of(text, size) for w in part] == want
+        assert [w.decode() for part in spelling_variants.runs_of(text.encode(), size) for w in part] == want
+    assert list(spelling_variants.runs_of(b"")) == []
+
+
+def test_near_words_differ_by_one_letter():
+    rng = random.Random(9)
+    for _ in range(4000):
+        a = "".join(rng.choice("ab") for _ in range(rng.randint(1, 6)))
+        b = "".join(rng.choice("ab") for _ in range(rng.randint(1, 6)))
+        one = {a[:k] + c + a[k + j :] for k in range(len(a) + 1) for c in ("", "a", "b") for j in (0, 1)} - {a}
+        assert spelling_variants.is_near(a, b) == (b in one)
 
 
 def test_op12_query(spark):
