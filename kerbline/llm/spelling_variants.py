@@ -31,7 +31,7 @@ _GAP = re.compile(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]")
 #: Letters of a word that say where its halves are looked up; halves of six letters have three.
 ENDS = 3
 #: Words of which a shard's automaton holds halves, and distinct words counted before they are sent.
-SHARD_WORDS, HELD_WORDS = 50_000, 200_000
+SHARD_WORDS, HELD_WORDS = 10_000, 200_000
 #: Bytes of a text that are looked at together.
 TEXT_SLICE = 1 << 20
 FIRST, LAST = 0, 1

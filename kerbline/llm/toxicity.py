@@ -25,6 +25,8 @@ BEGINNINGS = (4, 5, 6, 7)
 BUCKETS = 1 << 20
 #: Tasks that a step of the fit is dealt to, and tokens that a task looks at together.
 CHAIN_TASKS, CHAIN_TOKENS = 16, 1 << 18
+#: Tokens of a block of a long text.
+BLOCK = 128
 _OUT = "doc_id long, score double, n_toxic_tokens long, spans array<struct<start:int,end:int>>"
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -97,6 +99,42 @@ def _ratio(move, a):
     return np.logaddexp(move[0, 1], move[1, 1] + a) - np.logaddexp(move[0, 0], move[1, 0] + a)
 
 
+def _odds(e: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Log odds of the forward pass, columns of ``e`` from the top.
+
+    Long columns are cut into blocks. What a block does to the odds is a fraction of linear
+    forms, the product of its tokens' two-by-two matrices; with these, all blocks pass
+    through together."""
+    n, rows = e.shape
+    if n <= 4 * BLOCK:
+        a = np.empty_like(e)
+        a[0] = e[0]
+        for t in range(1, n):
+            a[t] = e[t] + _ratio(moves, a[t - 1])
+        return a
+    blocks = -(-n // BLOCK)
+    e = np.concatenate([e, np.zeros((blocks * BLOCK - n, rows))]).reshape(blocks, BLOCK, rows)
+    x, m = np.exp(np.clip(e, -300, 300)), np.exp(moves - moves.max())
+    p = [np.ones((blocks, rows)), np.zeros((blocks, rows)), np.zeros((blocks, rows)), np.ones((blocks, rows))]
+    for t in range(BLOCK):
+        q = [x[:, t] * (m[1, 1] * p[0] + m[0, 1] * p[2]), x[:, t] * (m[1, 1] * p[1] + m[0, 1] * p[3]), m[1, 0] * p[0] + m[0, 0] * p[2], m[1, 0] * p[1] + m[0, 0] * p[3]]
+        if t == 0:  # no move leads to the first token
+            q[0][0], q[1][0], q[2][0], q[3][0] = x[0, 0], 0.0, 0.0, 1.0
+        size = q[0] + q[1] + q[2] + q[3]
+        p = [v / size for v in q]
+    starts, top, low = np.zeros((blocks, rows)), np.ones(rows), np.ones(rows)
+    for k in range(blocks - 1):
+        top, low = p[0][k] * top + p[1][k] * low, p[2][k] * top + p[3][k] * low
+        size = top + low
+        top, low = top / size, low / size
+        starts[k + 1] = np.log(np.maximum(top, 1e-300)) - np.log(np.maximum(low, 1e-300))
+    a = np.empty_like(e)
+    a[:, 0] = e[:, 0] + np.where(np.arange(blocks)[:, None] > 0, _ratio(moves, starts), 0.0)
+    for t in range(1, BLOCK):
+        a[:, t] = e[:, t] + _ratio(moves, a[:, t - 1])
+    return a.reshape(-1, rows)[:n]
+
+
 def marginals(s: np.ndarray, woff: np.ndarray, moves: np.ndarray, pairs: bool = False):
     """Probability that each token is toxic; rows of like length pass through together.
 
@@ -111,15 +149,14 @@ def marginals(s: np.ndarray, woff: np.ndarray, moves: np.ndarray, pairs: bool =
         rows = order[k : k + n]
         k += n
         longest = int(size[rows[-1]])
-        at = woff[:-1][rows] + np.arange(longest)[:, None]
-        inside = np.arange(longest)[:, None] < size[rows]
+        step = np.arange(longest)[:, None]
+        inside = step < size[rows]
+        at, back = woff[:-1][rows] + step, woff[1:][rows] - 1 - step
         e = np.where(inside, s[np.minimum(at, len(s) - 1)], 0.0)
-        a, b = np.empty_like(e), np.zeros_like(e)
-        a[0] = e[0]
-        for t in range(1, longest):
-            a[t] = e[t] + _ratio(moves, a[t - 1])
-        for t in range(longest - 2, -1, -1):
-            b[t] = np.where(inside[t + 1], _ratio(moves.T, e[t + 1] + b[t + 1]), 0.0)
+        a = _odds(e, moves)
+        # from the end, the same pass with moves turned round; each row begins at its last token
+        c = _odds(np.where(inside, s[np.maximum(back, 0)], 0.0), moves.T)
+        b = np.take_along_axis(c, np.where(inside, size[rows] - 1 - step, 0), 0) - e
         z = a + b
         p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
         out[at[inside]] = p[inside]

@@ -296,6 +296,18 @@ def test_gradient_is_that_of_the_likelihood():
     assert got[8] == 10
 
 
+@pytest.mark.parametrize("block", [1, 2, 3])
+def test_long_texts_pass_through_in_blocks(monkeypatch, block):
+    rng = np.random.default_rng(block)
+    size = np.array([0, 1, 2, 30, 13, 29, 30, 7])
+    woff = np.append(0, size.cumsum())
+    s, moves = rng.normal(size=woff[-1]) * 9, rng.normal(size=(2, 2)) * 3
+    want, pairs = toxicity.marginals(s, woff, moves, pairs=True)
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    got, other = toxicity.marginals(s, woff, moves, pairs=True)
+    assert np.allclose(got, want, atol=1e-12) and np.allclose(pairs, other)
+
+
 def test_field_is_fitted_alike_in_any_slices(spark, monkeypatch):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice(["bad", "worse"] if i % 2 and rng.random() < 0.3 else ["fine", "good", "day", "sun"]) for _ in range(rng.randint(1, 40)))) for i in range(120)]
