@@ -24,7 +24,7 @@ from .common import column_bytes, slices, staged, texts_of, word_hashes, word_sp
 BEGINNINGS = (4, 5, 6, 7)
 BUCKETS = 1 << 20
 #: Tasks that a step of the fit is dealt to, and tokens that a task looks at together.
-CHAIN_TASKS, CHAIN_TOKENS = 16, 1 << 18
+CHAIN_TASKS, CHAIN_TOKENS = 8, 1 << 18
 #: Tokens of a block of a long text.
 BLOCK = 128
 _OUT = "doc_id long, score double, n_toxic_tokens long, spans array<struct<start:int,end:int>>"
