@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import exprs as E
 from ..schema import IMAGE_MEAN, IMAGE_STD, PALETTE, PIXEL_M
+from .spatial import box_pairs, boxed
 
 
 def pixel_classes(logits: DataFrame, pixels: int = 16, classes: int = 4) -> DataFrame:
@@ -145,11 +146,14 @@ def axis_matches(edge_segments: DataFrame, axis_segments: DataFrame, key: str, f
     """For each key, how well its edge segments lie along axis segments.
 
     Both sides have (key, x0, y0, x1, y1), edges an ``i``, axes a ``j``. Each edge segment
-    takes the best axis segment that is near and parallel enough.
+    takes the best axis segment that is near and parallel enough. They meet in the cells of a
+    grid, so what is far apart is never paired.
     """
     e = edge_segments.select(key, "i", *[F.col(c).alias(f"e{c}") for c in ("x0", "y0", "x1", "y1")])
     a = axis_segments.select(key, "j", *[F.col(c).alias(f"a{c}") for c in ("x0", "y0", "x1", "y1")])
-    met = e.join(a, key)
+    mid = [[(F.col(f"e{c}0") + F.col(f"e{c}1")) / 2] for c in "xy"]
+    ends = [[F.col(f"a{c}0"), F.col(f"a{c}1")] for c in "xy"]
+    met = box_pairs(boxed(e, *mid, far + 1e-6), boxed(a, *ends), [key], max(far, 1.0))
     ex, ey = E.unit(F.col("ex1") - F.col("ex0"), F.col("ey1") - F.col("ey0"))
     dx, dy = F.col("ax1") - F.col("ax0"), F.col("ay1") - F.col("ay0")
     ax, ay = E.unit(dx, dy)

@@ -122,7 +122,7 @@ def local_cuts(line, ring, p):
     _, rel, share = shapes.quality(widths(ring))
     for n in range(p.max_cuts):
         corners = shapes.concave(shapes.simplified_ring(ring, p.cut_simplify))
-        whole, best = abs(shapes.area(ring)), None
+        best = None
         for i in range(len(corners)):
             for j in range(i + 1, len(corners)):
                 a, b = corners[i], corners[j]
@@ -142,6 +142,7 @@ def local_cuts(line, ring, p):
                 if len(pieces) < 2:
                     continue
                 kept = max(pieces, key=lambda x: round(shapes.overlap_area(line, p.cut_keep_buffer, x), 6))
+                whole = sum(abs(shapes.area(x)) for x in pieces)
                 gone = whole - abs(shapes.area(kept))
                 if gone < p.min_removed or gone / whole > p.max_removed_ratio:
                     continue
