@@ -5,4 +5,4 @@ from __future__ import annotations
 from . import kernel_queries, measure_queries, network_queries
 
 QUERIES = network_queries.QUERIES | measure_queries.QUERIES | kernel_queries.QUERIES
-ORACLE = network_queries.ORACLE | measure_queries.ORACLE
+ORACLE = network_queries.ORACLE | measure_queries.ORACLE | kernel_queries.ORACLE

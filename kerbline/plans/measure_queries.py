@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import exprs as E
 from ..operators import measures as M
 from ..operators import progress as P
+from ..operators import tiles as T
 from ..schema import PALETTE
 from ..sources import graph
 from . import fixtures as X
@@ -52,14 +53,15 @@ def color_mask(spark, sf):
 
 @query(
     "bilinear_upsample",
-    sql="""WITH t AS (SELECT vec_id, embedding e, q.i, greatest(0.0, (i // 8 + 0.5)*0.5 - 0.5) v, greatest(0.0, (i % 8 + 0.5)*0.5 - 0.5) u FROM embeddings, (SELECT unnest(range(64)) i) q),
+    sql="""WITH t AS (SELECT vec_id, k.class, embedding[k.class*16+1 : k.class*16+16] e, q.i, greatest(0.0, (i // 8 + 0.5)*0.5 - 0.5) v, greatest(0.0, (i % 8 + 0.5)*0.5 - 0.5) u FROM embeddings, (SELECT unnest(range(64)) i) q, (SELECT unnest(range(4)) class) k),
         s AS (SELECT *, CAST(floor(v) AS INT) r0, least(CAST(floor(v) AS INT) + 1, 3) r1, CAST(floor(u) AS INT) c0, least(CAST(floor(u) AS INT) + 1, 3) c1 FROM t)
-        SELECT vec_id, CAST(i AS INT) AS i, round((CAST(e[r0*4+c0+1] AS DOUBLE)*(1-(u-c0)) + CAST(e[r0*4+c1+1] AS DOUBLE)*(u-c0))*(1-(v-r0)) + (CAST(e[r1*4+c0+1] AS DOUBLE)*(1-(u-c0)) + CAST(e[r1*4+c1+1] AS DOUBLE)*(u-c0))*(v-r0), 6) + 0.0 AS value FROM s""",
+        SELECT vec_id, CAST(class AS INT) AS class, CAST(i AS INT) AS i, round((CAST(e[r0*4+c0+1] AS DOUBLE)*(1-(u-c0)) + CAST(e[r0*4+c1+1] AS DOUBLE)*(u-c0))*(1-(v-r0)) + (CAST(e[r1*4+c0+1] AS DOUBLE)*(1-(u-c0)) + CAST(e[r1*4+c1+1] AS DOUBLE)*(u-c0))*(v-r0), 6) + 0.0 AS value FROM s""",
 )
 def bilinear_upsample(spark, sf):
-    """Logits of the first class, from 4 by 4 to 8 by 8."""
-    rows = X.logits(spark, sf).select("vec_id", F.posexplode(M.upsampled(F.slice("logits", 1, 16), 4, 8)).alias("i", "v"))
-    return rows.select("vec_id", "i", (F.round("v", 6) + 0.0).alias("value"))
+    """Logits of all classes, from 4 by 4 to 8 by 8."""
+    grids = F.array(*[M.upsampled(F.slice("logits", 16 * k + 1, 16), 4, 8) for k in range(4)])
+    rows = X.logits(spark, sf).select("vec_id", F.posexplode(grids).alias("class", "grid")).select("vec_id", "class", F.posexplode("grid").alias("i", "v"))
+    return rows.select("vec_id", "class", "i", (F.round("v", 6) + 0.0).alias("value"))
 
 
 @query(
@@ -73,14 +75,16 @@ def class_context(spark, sf):
 
 @query(
     "row_reprojection",
-    sql="""WITH g AS (SELECT 310000 + t*1000 AS ty, r, atan(sinh(pi()*(1-2*((310000 + t*1000)*256 + r + 0.5)/268435456.0))) AS phi FROM (SELECT unnest(range(20)) t) a, (SELECT unnest(range(256)) r) b),
+    "edge_tiles",
+    sql="""WITH g AS (SELECT ty, r, atan(sinh(pi()*(1-2*(ty*256 + r + 0.5)/268435456.0))) AS phi FROM (SELECT DISTINCT y AS ty FROM edge_tiles) a, (SELECT unnest(range(256)) r) b),
         y AS (SELECT *, (1 - ln(tan(pi()/4 + phi/2)*pow((1-0.0818191908426*sin(phi))/(1+0.0818191908426*sin(phi)), 0.0818191908426/2))/pi())/2*268435456.0 AS gy FROM g),
         s AS (SELECT *, min(CAST(floor(gy/256) AS BIGINT)) OVER (PARTITION BY ty) AS first_tile, max(CAST(floor(gy/256) AS BIGINT)) OVER (PARTITION BY ty) AS last_tile FROM y)
         SELECT ty, r, first_tile, last_tile, round(least(greatest(gy - first_tile*256 - 0.5, 0), (last_tile - first_tile + 1)*256 - 1), 3) AS source_row FROM s""",
 )
 def row_reprojection(spark, sf):
-    """Which source rows each row of a tile blends, between the two map projections."""
-    rows = spark.range(20).select((F.lit(310000) + F.col("id") * 1000).alias("ty"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(255).cast("long"))).alias("r"))
+    """Which source rows each row of the network's tiles blends, between the two map projections."""
+    tiles = T.edge_tiles(X.edges(spark, sf)).select(F.col("y").alias("ty")).distinct()
+    rows = tiles.select("ty", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(255).cast("long"))).alias("r"))
     gy = E.ellipsoidal_y(E.row_latitude(F.col("ty"), F.col("r"), 20), 20)
     w = Window.partitionBy("ty")
     tile = F.floor(F.col("gy") / 256)
@@ -96,18 +100,21 @@ def normalize_pixels(spark, sf):
     return rows.select("vec_id", "p", *[F.round(M.normalised(c, i), 6).alias(n) for i, (c, n) in enumerate(zip(rgb, "rgb"))])
 
 
+_BLEND = ", ".join(f"CASE WHEN class = 3 THEN CAST({n}0 AS INT) ELSE CAST(least(255, greatest(0, floor(CAST(0.55 AS FLOAT)*CAST({n}0 AS FLOAT) + CAST(0.45 AS FLOAT)*CAST(rgb[{k}] AS FLOAT)))) AS INT) END AS {n}" for k, n in enumerate("rgb", 1))
+
+
 @query(
     "overlay_blend",
     "classes",
-    sql=f"""WITH c AS (SELECT vec_id, p, class, CASE class {_RGB} END AS rgb, (vec_id*37 + p*11) % 256 AS base FROM classes)
-        SELECT vec_id, p, CASE WHEN class = 3 THEN CAST(base AS INT) ELSE CAST(least(255, greatest(0, floor(CAST(0.55 AS FLOAT)*CAST(base AS FLOAT) + CAST(0.45 AS FLOAT)*CAST(rgb[1] AS FLOAT)))) AS INT) END AS r FROM c""",
+    sql=f"""WITH c AS (SELECT vec_id, p, class, CASE class {_RGB} END AS rgb, (vec_id*37 + p*11) % 256 AS r0, (vec_id*37 + p*11 + 29) % 256 AS g0, (vec_id*37 + p*11 + 58) % 256 AS b0 FROM classes)
+        SELECT vec_id, p, {_BLEND} FROM c""",
 )
 def overlay_blend(spark, sf):
-    """Masks over a made image; black pixels of the mask stay as the image is."""
-    base = ((F.col("vec_id") * 37 + F.col("p") * 11) % 256).cast("int")
+    """Masks over a made image in all channels; black pixels of the mask stay as the image is."""
     rows = M.pixel_classes(X.logits(spark, sf))
-    r, _, _ = M.colours(F.col("class"))
-    return rows.select("vec_id", "p", F.when(F.col("class") == 3, base).otherwise(M.blended(base, r)).alias("r"))
+    base = [((F.col("vec_id") * 37 + F.col("p") * 11 + 29 * k) % 256).cast("int") for k in range(3)]
+    mixed = [F.when(F.col("class") == 3, b).otherwise(M.blended(b, c)).alias(n) for b, c, n in zip(base, M.colours(F.col("class")), "rgb")]
+    return rows.select("vec_id", "p", *mixed)
 
 
 @query(
@@ -147,7 +154,7 @@ def concave_vertices(spark, sf):
     return M.concave_vertices(X.rings(spark, sf)).select("ring", F.explode_outer("concave").alias("i")).where("i IS NOT NULL")
 
 
-@query("cut_pairs", "ring_points", sql=f"WITH {_CONCAVE}, c AS (SELECT ring, CAST(i AS INT) i FROM turns WHERE turn < 0) SELECT a.ring, a.i AS i, b.i AS j FROM c a JOIN c b ON a.ring = b.ring AND a.i < b.i")
+@query("cut_pairs", "ring_points", sql=f"WITH {_CONCAVE}, c AS (SELECT ring, list(CAST(i AS INT) ORDER BY i) l FROM turns WHERE turn < 0 GROUP BY ring), p AS (SELECT ring, l, unnest(l) AS i FROM c) SELECT ring, i, unnest(list_filter(l, lambda b: b > i)) AS j FROM p")
 def cut_pairs(spark, sf):
     """Pairs of concave vertices of one ring, the ends of candidate cuts."""
     pairs = F.flatten(F.transform("concave", lambda a: F.transform(F.filter("concave", lambda b: b > a), lambda b: F.struct(a.alias("i"), b.alias("j")))))
@@ -243,10 +250,10 @@ _SHIFTS = """shifts AS (SELECT ring % 50 AS edge, CAST((ring*37 + i*53) % 97 - 4
     seeds AS (SELECT *, n*2.0 + dot*5.0 - distance/240.0 - 0.001*sqrt(mx*mx + my*my) - 0.05*std/10.0 AS seed FROM mids JOIN stds USING (edge, kx, ky))"""
 
 
-def _shifts(spark, sf):
+def _shifts(spark, sf, edges=50, x=(97, 48), y=(89, 44)):
     rows = X.rings(spark, sf).select("ring", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i"))
     r, i = F.col("ring"), F.col("i")
-    return rows.select((r % 50).alias("edge"), ((r * 37 + i * 53) % 97 - 48).cast("double").alias("dx"), ((r * 11 + i * 29) % 89 - 44).cast("double").alias("dy"), (F.lit(0.75) + ((r + i) % 25).cast("double") / 100.0).alias("dot"), (((r * 7 + i) % 240).cast("double") * 0.987654321).alias("distance"))
+    return rows.select((r % edges).alias("edge"), ((r * 37 + i * 53) % x[0] - x[1]).cast("double").alias("dx"), ((r * 11 + i * 29) % y[0] - y[1]).cast("double").alias("dy"), (F.lit(0.75) + ((r + i) % 25).cast("double") / 100.0).alias("dot"), (((r * 7 + i) % 240).cast("double") * 0.987654321).alias("distance"))
 
 
 @query("shift_clusters", "ring_points", sql=f"WITH {_SHIFTS} SELECT edge, kx, ky, mx, my, n, round(std, 6) AS std, round(seed, 6) AS seed FROM seeds")
@@ -254,9 +261,13 @@ def shift_clusters(spark, sf):
     return M.shift_clusters(_shifts(spark, sf), "edge").select("edge", "kx", "ky", "mx", "my", "n", F.round("std", 6).alias("std"), F.round("seed", 6).alias("seed"))
 
 
-@query("translation_topk", "ring_points", sql=f"WITH {_SHIFTS} SELECT edge, kx, ky, rank FROM (SELECT edge, kx, ky, row_number() OVER (PARTITION BY edge ORDER BY round(seed, 9) DESC, kx, ky) AS rank FROM seeds) WHERE rank <= 250")
+#: So many shifts in so many cells that the most candidates of an edge are fewer than its clusters.
+_WIDE = _SHIFTS.replace("% 97 - 48", "% 397 - 198").replace("% 89 - 44", "% 389 - 194").replace("ring % 50", "ring % 5")
+
+
+@query("translation_topk", "ring_points", sql=f"WITH {_WIDE} SELECT edge, kx, ky, rank FROM (SELECT edge, kx, ky, row_number() OVER (PARTITION BY edge ORDER BY round(seed, 9) DESC, kx, ky) AS rank FROM seeds) WHERE rank <= 250")
 def translation_topk(spark, sf):
-    return M.top_candidates(M.shift_clusters(_shifts(spark, sf), "edge"), "edge").select("edge", "kx", "ky", "rank")
+    return M.top_candidates(M.shift_clusters(_shifts(spark, sf, 5, (397, 198), (389, 194)), "edge"), "edge").select("edge", "kx", "ky", "rank")
 
 
 _LINES = """e AS (SELECT user_id AS key, event_id AS i, CAST((event_id*7919) % 997 AS DOUBLE) x0, CAST((event_id*10473) % 991 AS DOUBLE) y0, CAST((event_id*7919) % 997 + 3 + event_id % 7 AS DOUBLE) x1, CAST((event_id*10473) % 991 + event_id % 11 AS DOUBLE) y1 FROM events),
