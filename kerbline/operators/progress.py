@@ -23,7 +23,8 @@ STAGE_RANGES = {
     "update_graph": (98.0, 100.0),
 }
 
-# Fixed values of the estimate: how far back speeds are looked at and how they are mixed.
+# Fixed values of the estimate, with those in ``unsmoothed`` and ``told`` (0.3, 0.7, 0.35, 0.18,
+# 2, 4, 0.05, 0.5): how far back speeds are looked at and how they are mixed.
 RECENT_SECONDS, MOST_SAMPLES, LONGEST = 90.0, 120, 7 * 24 * 3600.0
 LEAST_RISE = 1e-6
 
@@ -110,6 +111,37 @@ def fold(trail: Trail, samples: Iterable[tuple[int, float, float]]) -> Iterator[
             yield trail, i, shown
 
 
+class Last(NamedTuple):
+    """The last sample of a run, taken or not, and how many ticks were told after it."""
+
+    i: int
+    elapsed: float
+    percent: float
+    ticks: int = 0
+
+
+def ticked(trail: Trail, last: Last, every: float, until: float) -> Iterator[tuple[Trail, Last, float | None]]:
+    """What is shown ``every`` seconds after a sample, up to a time (exclusive), while no other
+    comes. The percent stands still, so the rest grows. A run at 0 or 100 % has no ticks."""
+    while 0 < last.percent < 100 and (at := last.elapsed + (last.ticks + 1) * every) < until:
+        last = last._replace(ticks=last.ticks + 1)
+        trail, shown = told(trail, at, last.percent)
+        yield trail, last, shown
+
+
+def fold_all(trail: Trail, last: Last | None, samples: Iterable[tuple[int, float, float]], every: float) -> Iterator[tuple[Trail, Last, float | None]]:
+    """The trail, the last sample and what is shown after every sample, also one that isn't
+    taken, and after every tick between samples."""
+    for i, elapsed, percent in samples:
+        elapsed, percent = max(0.0, elapsed), min(max(0.0, percent), 100.0)
+        if last is not None:
+            for trail, last, shown in ticked(trail, last, every, elapsed):
+                yield trail, last, shown
+        last = Last(i, elapsed, percent)
+        trail, shown = told(moved(trail, elapsed, percent) or trail, elapsed, percent)
+        yield trail, last, shown
+
+
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by run and ``i``; only the trail of the run at hand is held."""
     run, trail = None, Trail()
@@ -136,3 +168,29 @@ def remaining(samples: DataFrame) -> DataFrame:
     rows = samples.select("run", F.col("i").cast("int").alias("i"), F.col("elapsed").cast("double").alias("elapsed"), F.col("percent").cast("double").alias("percent")).na.drop()
     kind = rows.schema["run"].dataType.simpleString()
     return rows.repartition("run").sortWithinPartitions("run", "i", "elapsed", "percent").mapInArrow(_folded, f"run {kind}, i int, eta double")
+
+
+def remaining_shown(samples: DataFrame, every: float) -> DataFrame:
+    """``run, i, tick, elapsed, eta``: what is shown after every sample (``tick`` 0), and every
+    so many seconds while the next one is awaited (``tick`` from 1); null where unknown.
+
+    Samples as in ``remaining``. One that isn't taken moves the smoothing all the same. No tick
+    comes after the last sample of a run.
+    """
+
+    def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, trail, last = None, Trail(), None
+        for batch in batches:
+            out = []
+            rows = zip(*(batch.column(c).to_pylist() for c in ("run", "i", "elapsed", "percent")))
+            for key, own in groupby(rows, key=lambda r: r[0]):
+                run, trail, last = key, *((trail, last) if key == run else (Trail(), None))
+                for trail, last, shown in fold_all(trail, last, (r[1:] for r in own), every):  # noqa: B020
+                    out.append((key, last.i, last.ticks, last.elapsed + last.ticks * every, shown))
+            columns = zip(*out) if out else ((),) * 5
+            types = (batch.schema.field("run").type, pa.int32(), pa.int32(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["run", "i", "tick", "elapsed", "eta"])
+
+    rows = samples.select("run", F.col("i").cast("int").alias("i"), F.col("elapsed").cast("double").alias("elapsed"), F.col("percent").cast("double").alias("percent")).na.drop()
+    kind = rows.schema["run"].dataType.simpleString()
+    return rows.repartition("run").sortWithinPartitions("run", "i", "elapsed", "percent").mapInArrow(run_, f"run {kind}, i int, tick int, elapsed double, eta double")

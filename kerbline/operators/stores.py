@@ -29,6 +29,22 @@ def lookup(latest_rows: DataFrame, wanted: DataFrame, keys: list[str], now: Colu
     return wanted.join(latest_rows, keys, "left").withColumn("state", state)
 
 
+def answered(log: DataFrame, asked: DataFrame, keys: list[str], ttl_seconds: int = 86400) -> DataFrame:
+    """``keys, at, number, state``: what the cache said to each question when it was asked.
+
+    ``log`` has (keys, status, at, number), ``asked`` (keys, at, number). Rows count in order
+    of ``at`` and ``number``, a status before a question of the same place; the last status
+    decides: ok, missing (while it is no older than the time to live) or absent.
+    """
+    cols = [*keys, F.col("at").cast("timestamp").alias("at"), "number"]
+    both = log.select(*cols, "status").unionByName(asked.select(*cols, F.lit(None).cast("int").alias("status")))
+    us = F.unix_micros("at")
+    w = Window.partitionBy(*keys).orderBy("at", "number", F.col("status").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("last", F.last(F.when(F.col("status").isNotNull(), F.struct("status", us.alias("us"))), ignorenulls=True).over(w)).where("status IS NULL")
+    fresh = (F.lit(ttl_seconds) > 0) & (us - F.col("last.us") <= ttl_seconds * 1_000_000)
+    return seen.select(*keys, "at", "number", F.when(F.col("last.status") == OK, "ok").when((F.col("last.status") == MISSING) & fresh, "missing").otherwise("absent").alias("state"))
+
+
 def deleted(log: DataFrame, keys: list[str], tombstones: DataFrame) -> DataFrame:
     """The log without keys that were deleted."""
     return log.join(tombstones.select(*keys).distinct(), keys, "left_anti")
