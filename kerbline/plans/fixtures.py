@@ -56,7 +56,11 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cache_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("x"), (F.col("event_id") % 7).alias("y"), F.when(F.col("event_type") == "error", 2).otherwise(1).alias("status"), F.col("ts").alias("updated_at"), "event_id")
+    return cache_log_of(table(spark, sf_dir, "events"))
+
+
+def cache_log_of(events: DataFrame) -> DataFrame:
+    return events.select(F.col("user_id").alias("x"), (F.col("event_id") % 7).alias("y"), F.when(F.col("event_type") == "error", 2).otherwise(1).alias("status"), F.col("ts").alias("updated_at"), "event_id")
 
 
 #: The eight directions of a ring's vertices.

@@ -329,6 +329,40 @@ def eta_batch(spark, sf):
     return P.remaining(s).select("run", "i", F.round("eta", 4).alias("eta"))
 
 
+@query(
+    "eta_pauses",
+    sql="""WITH RECURSIVE r AS (SELECT user_id AS run, row_number() OVER o AS i, (epoch_us(ts) - min(epoch_us(ts)) OVER w) / 3.6e9 - CASE WHEN event_id % 10 = 0 THEN 5e0 ELSE 0e0 END AS e,
+            CASE WHEN max(value) OVER w > 0 THEN value / max(value) OVER w * 100e0 ELSE 0e0 END AS p FROM events WINDOW w AS (PARTITION BY user_id), o AS (PARTITION BY user_id ORDER BY ts, event_id)),
+        s AS (SELECT run, i, greatest(0e0, e) AS elapsed, least(greatest(0e0, p), 100e0) AS percent FROM r),
+        t AS (SELECT run, i, elapsed, percent, 1 AS k, true AS taken FROM s WHERE i = 1 UNION ALL
+            SELECT run, i, CASE WHEN ok THEN e ELSE elapsed END, CASE WHEN ok THEN p ELSE percent END, k + CAST(ok AS INT), ok
+            FROM (SELECT t.run, s.i, t.elapsed, t.percent, t.k, s.elapsed AS e, s.percent AS p, s.elapsed >= t.elapsed AND s.percent > t.percent + 1e-6 AS ok FROM t JOIN s ON s.run = t.run AND s.i = t.i + 1)),
+        n AS (SELECT *, lead(elapsed) OVER (PARTITION BY run ORDER BY i) AS next FROM s),
+        u AS (SELECT run, i, 0 AS tick, elapsed, percent FROM s UNION ALL
+            SELECT run, i, m, elapsed + m*10e0, percent FROM (SELECT *, unnest(range(1, CAST(ceil((next - elapsed)/10) AS BIGINT) + 1)) AS m FROM n WHERE percent > 0 AND percent < 100 AND next > elapsed) WHERE elapsed + m*10e0 < next),
+        a AS (SELECT u.*, t.k, row_number() OVER (PARTITION BY u.run ORDER BY u.i, u.tick) AS j FROM u JOIN t ON t.run = u.run AND t.i = u.i),
+        g AS (SELECT run, k, elapsed, percent FROM t WHERE taken),
+        f AS (SELECT a.run, a.j, min(CASE WHEN a.elapsed - g.elapsed <= 90 THEN g.k END) AS near, min(g.k) AS oldest FROM a JOIN g ON a.run = g.run AND g.k <= a.k AND g.k > a.k - 120 GROUP BY ALL),
+        d AS (SELECT a.*, a.elapsed - g.elapsed AS dt, a.percent - g.percent AS dp, a.percent / greatest(a.elapsed, 1e-9) AS slow FROM a JOIN f ON a.run = f.run AND a.j = f.j JOIN g ON g.run = a.run AND g.k = coalesce(f.near, f.oldest)),
+        v AS (SELECT *, CASE WHEN dt >= 2 AND dp >= 0.05 THEN 0.7e0*(dp/dt) + 0.3e0*slow ELSE slow END AS rate FROM d),
+        raws AS (SELECT run, i, tick, j, elapsed, percent, CASE WHEN percent >= 100 THEN 0e0 WHEN elapsed >= 4 AND percent >= 0.5 AND k >= 2 AND rate > 1e-9 THEN least((100 - percent)/rate, 604800e0) END AS raw FROM v),
+        x AS (SELECT run, i, tick, j, elapsed, raw, raw AS eta FROM raws WHERE j = 1 UNION ALL
+            SELECT y.run, y.i, y.tick, y.j, y.elapsed, y.raw, CASE WHEN y.percent >= 100 THEN 0e0 WHEN y.raw IS NULL THEN x.eta WHEN x.eta IS NULL THEN y.raw WHEN y.raw > x.eta THEN 0.35e0*y.raw + 0.65e0*x.eta ELSE 0.18e0*y.raw + 0.82e0*x.eta END
+            FROM x JOIN raws y ON y.run = x.run AND y.j = x.j + 1)
+        SELECT run, CAST(i AS INT) AS i, CAST(tick AS INT) AS tick, round(elapsed, 6) AS elapsed, round(CASE WHEN raw IS NOT NULL THEN eta END, 4) AS eta FROM x""",
+)
+def eta_pauses(spark, sf):
+    """What is shown after samples that rise, fall and go back in time, and every ten seconds
+    between them; an hour of the events is a second."""
+    ev = X.table(spark, sf, "events").select("user_id", "event_id", "ts", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    whole = Window.partitionBy("user_id")
+    i = F.row_number().over(whole.orderBy("ts", "event_id"))
+    elapsed = (F.col("us") - F.min("us").over(whole)) / 3.6e9 - F.when(F.col("event_id") % 10 == 0, 5.0).otherwise(0.0)
+    top = F.max("value").over(whole)
+    s = ev.select(F.col("user_id").alias("run"), i.alias("i"), elapsed.alias("elapsed"), F.when(top > 0, F.col("value") / top * 100.0).otherwise(0.0).alias("percent"))
+    return P.remaining_shown(s, 10.0).select("run", "i", "tick", F.round("elapsed", 6).alias("elapsed"), F.round("eta", 4).alias("eta"))
+
+
 @query(
     "duration_text",
     "samples",

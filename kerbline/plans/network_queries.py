@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 from ..functions import exprs as E
 from ..operators import predict, stores, tiles
 from ..sources import graph, tile_files
+from ..sources.shared import shared_dir
+from ..streaming import eta, states
 from . import fixtures as X
 from .fixtures import using
 
@@ -205,6 +207,37 @@ def cache_lookup_ttl(spark, sf):
     return stores.lookup(stores.latest(log, ["x", "y"], ["updated_at", "event_id"]), wanted, ["x", "y"], now).select("x", "y", "state")
 
 
+_ANSWERS = """WITH rows_ AS (SELECT x, y, updated_at, event_id AS number, status FROM cache_log UNION ALL SELECT x, event_id*3 % 7, updated_at, event_id, NULL FROM cache_log),
+    seen AS (SELECT *, last_value(status IGNORE NULLS) OVER w AS last, last_value(CASE WHEN status IS NOT NULL THEN updated_at END IGNORE NULLS) OVER w AS since FROM rows_
+        WINDOW w AS (PARTITION BY x, y ORDER BY updated_at, number, status IS NULL ROWS UNBOUNDED PRECEDING))
+    SELECT x, y, number, CASE WHEN last = 1 THEN 'ok' WHEN last = 2 AND updated_at <= since + INTERVAL 24 HOUR THEN 'missing' ELSE 'absent' END AS state FROM seen WHERE status IS NULL"""
+
+
+def _asked(log):
+    """Each row of the log asks for another tile at the same time."""
+    return log.select("x", (F.col("event_id") * 3 % 7).alias("y"), F.col("updated_at").cast("timestamp").alias("at"), F.col("event_id").alias("number"))
+
+
+def _told(log):
+    return log.select("x", "y", F.col("updated_at").cast("timestamp").alias("at"), F.col("event_id").alias("number"), F.col("status").cast("int").alias("status"))
+
+
+@query("cache_answers", "cache_log", sql=_ANSWERS)
+def cache_answers(spark, sf):
+    """What the cache said to each question when it was asked."""
+    log = X.cache_log(spark, sf)
+    return stores.answered(_told(log), _asked(log), ["x", "y"]).select("x", "y", "number", "state")
+
+
+@query("cache_answers_stream", "cache_log", sql=_ANSWERS)
+def cache_answers_stream(spark, sf):
+    """The same from a stream of the events, in which missing tiles are state that ages."""
+    log = X.cache_log_of(eta.file_stream(spark, sf, "events"))
+    rows = _told(log).unionByName(_asked(log).withColumn("status", F.lit(None).cast("int")))
+    out = eta.replayed(spark, states.answered_stream(rows, ["x", "y"]), shared_dir(spark) + "/answers", once=True)
+    return out.select("x", "y", "number", "state")
+
+
 @query("cache_violations", "cache_log", sql="SELECT event_id, x, y, status FROM cache_log WHERE (status = 1) <> (event_id % 10 <> 0)")
 def cache_violations(spark, sf):
     """Every tenth row has no content."""
