@@ -64,11 +64,12 @@ def _counted(modulus: int, least_length: int):
                 for runs in runs_of(text.as_py()):
                     own.update(x for x in runs if len(x) >= least_length)  # no shorter word can count
                 start = zlib.crc32(b":" if number is None else b"%d:" % number)
-                for word in [w for w in own if zlib.crc32(w, start) % modulus == 0]:
-                    n, letters, h = own.pop(word), word.decode(), zlib.crc32(word, start)
-                    k = h % len(letters)
-                    own[(letters[:k] + letters[k + 1 :]).encode()] += n
                 for word, n in own.items():
+                    h = zlib.crc32(word, start)
+                    if h % modulus == 0:  # once a run: what is left of it is not looked at again
+                        letters = word.decode()
+                        k = h % len(letters)
+                        word = (letters[:k] + letters[k + 1 :]).encode()
                     total[word] += n
                 if len(total) >= HELD_WORDS:
                     yield send(total)

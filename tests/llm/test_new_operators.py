@@ -177,6 +177,24 @@ def test_spelling_variants(spark, monkeypatch, seed, shard, piece):
     assert len({r[2] for r in want if r[0].startswith("abcabc") and len(r[0]) > 6}) == 1
 
 
+def test_a_run_loses_one_letter_at_most(spark):
+    """Both a word and what is left of it are chosen in one document."""
+
+    def cut(i, w):
+        h = zlib.crc32(f"{i}:{w}".encode())
+        return w[: h % len(w)] + w[h % len(w) + 1 :] if h % 199 == 0 else None
+
+    rng, rows = random.Random(4), []
+    while len(rows) < 3:
+        i, w = rng.randrange(10**6), "".join(rng.choice("abcdefg") for _ in range(9))
+        left = cut(i, w)
+        if left and cut(i, left):
+            rows += [(i, f"{w} " * 6 + f"{left} " * 7), (i, f"{left} " * 5 + f"{w} " * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in spelling_variants.spelling_variants(docs).select("word", "form", "root", "n", "n_near", "form_n").collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, plain_variants(rows)))
+
+
 def test_spelling_variants_of_nothing(spark):
     docs = spark.createDataFrame([(1, None), (2, "few words")], "doc_id long, text string")
     for table in (docs, docs.limit(0)):
