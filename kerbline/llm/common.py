@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import LARGE_ROWS
 from ..sources.shared import kept as staged
 from ..sources.shared import shared_dir
 

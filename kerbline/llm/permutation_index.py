@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged
+from .common import LARGE_ROWS, staged
 
 BLOCK_ROWS = 8192
 QUERY_ROWS = 512
@@ -165,7 +165,7 @@ def nearest(
 def _nearest(rows: DataFrame, asked: DataFrame, k: int, pivots: int, listed: int, share: float, least: int, seed: int) -> DataFrame:
     """The search among vectors of one length."""
     points = pivots_of(rows, pivots, seed)
-    index = staged(rows.mapInArrow(_blocks(points, listed), _BLOCK), "permutation-index")
+    index = staged(rows.mapInArrow(_blocks(points, listed), _BLOCK), "permutation-index", LARGE_ROWS)
     # each group of queries meets each block: a stated query set against all rows, in blocks
     once = asked.dropDuplicates(["vec_id", "vector"]).withColumn("turn", F.xxhash64("vector")).sortWithinPartitions("vec_id", "vector")
     groups = once.mapInArrow(_groups, "group long, query_ids binary, turns binary, queries binary")

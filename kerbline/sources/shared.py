@@ -21,9 +21,14 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
+#: For tables with rows of megabytes. Parquet looks at the size of a row group after a hundred
+#: rows only, and writers and readers hold one whole.
+LARGE_ROWS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.enable.dictionary": "false"}
+
+
+def kept(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: it is computed once, and a lost
     executor costs nothing before it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**options or {}).option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

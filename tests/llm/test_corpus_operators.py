@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import plain_versions as plain
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -431,6 +432,20 @@ def test_nearest(spark):
     assert permutation_index.nearest(table.limit(0)).count() == 0
 
 
+def test_index_is_read_a_few_blocks_at_once(spark, monkeypatch):
+    """Readers and writers hold a row group whole, so a task's blocks lie in many."""
+    paths = []
+    keep = permutation_index.staged
+    monkeypatch.setattr(permutation_index, "staged", lambda *a: paths.append(keep(*a)) or paths[-1])
+    x = F.array(*[F.rand(k) for k in range(32)])
+    table = spark.range(70_000).coalesce(1).select(F.col("id").alias("vec_id"), x.alias("embedding"))
+    permutation_index.nearest(table, table.limit(0))
+    (file,) = paths[0].inputFiles()
+    groups = pq.ParquetFile(file.removeprefix("file://")).metadata
+    sizes = [groups.row_group(i).num_rows for i in range(groups.num_row_groups)]
+    assert sum(sizes) >= 8 and max(sizes) <= 2
+
+
 def test_repeated_queries_lose_no_place(spark):
     x = np.random.default_rng(1).normal(size=(400, 8))
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
