@@ -9,8 +9,12 @@ compared by prints of 512 bits and give spanning forests of their closest links,
 pairs. A link counts only by the exact similarity of its two shingle sets.
 
 Two texts at 0.8 draw at least one equal sample of twenty with a chance of 0.9999, and of
-0.988 at the least: with four and five shingles, which is eight and nine words. Equal texts
-are one node throughout.
+0.988 at the least: with four and five shingles, which is eight and nine words. What the
+samples, the forests and the bound on bits pass over is found by an exact step: in any one
+order of all shingles, two similar sets share one of their first n - ceil(0.8 n) + 1. Texts
+of different groups that share such a shingle are compared as well, and groups joined. The
+order puts shingles of common buckets last; it decides on the work only, never on the links.
+Equal texts are one node throughout.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ FORESTS = 6
 MOST = 2048
 #: Rows that one task compares, about.
 TOGETHER = 60_000
+#: Buckets in which shingles are counted for their order: a table of fixed size.
+COUNTED = 1 << 20
 
 _FACTOR = 0x9E6C63D0876A9A47
 _rng = np.random.default_rng(20250311)
@@ -93,7 +99,45 @@ def sub_prints(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _printed(shingle: int, blocks: int):
+def common_levels(texts: DataFrame, shingle: int) -> np.ndarray:
+    """For each of ``COUNTED`` buckets of shingles, how far it is above the mean: 0 for most."""
+    piece = min(COUNTED, 1 << 14)
+
+    def counted(batches):
+        total = np.zeros(COUNTED, np.int64)
+        for batch in batches:
+            for part in slices(batch):
+                hashes, _ = shingle_sets(part.column("text"), shingle)
+                total += np.bincount((hashes % np.uint64(COUNTED)).astype(np.int64), minlength=COUNTED)
+        cuts = range(0, COUNTED, piece)
+        yield pa.RecordBatch.from_pydict({"at": pa.array(list(cuts), pa.int64()), "counts": pa.array([total[a : a + piece].tobytes() for a in cuts], pa.binary())})
+
+    def added(rows: pa.Table) -> pa.Table:
+        total = np.zeros(piece, np.int64)
+        for counts in rows.column("counts"):
+            total += np.frombuffer(counts.as_py(), np.int64)
+        return pa.table({"at": rows.column("at").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    form = "at long, counts binary"
+    found = sorted(texts.mapInArrow(counted, form).groupBy("at").applyInArrow(added, form).collect())  # COUNTED numbers
+    total = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["counts"], np.int64) for r in found)])
+    if not len(total):
+        return np.zeros(COUNTED, np.uint8)
+    usual = total.mean() + 4 * math.sqrt(total.mean()) + 4
+    return np.maximum(0, np.floor(np.log2(np.maximum(total, 1) / usual)) + 1).astype(np.uint8)
+
+
+def first_shingles(hashes: np.ndarray, counts: np.ndarray, levels: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set the shingles that come first, and how many: any set of at least that
+    Jaccard similarity has one of them among its own. Rare ones come first, then by hash."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    hashes = hashes[np.lexsort((hashes, levels[(hashes % np.uint64(COUNTED)).astype(np.int64)], row))]
+    keep = np.where(counts > 0, counts - np.ceil(similarity * counts - 1e-9).astype(np.int64) + 1, 0)
+    place = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return hashes[place < np.repeat(keep, counts)], keep
+
+
+def _printed(shingle: int, blocks: int, levels: np.ndarray, similarity: float):
     def run(batches):
         code = CoveringCode(blocks, 0)
         for batch in batches:
@@ -103,16 +147,73 @@ def _printed(shingle: int, blocks: int):
                 wide = wide_prints(hashes, counts).tobytes()
                 _, homes, _ = code.deal(sub_prints(hashes, counts).ravel())
                 homes = homes.view(np.int64).reshape(-1, SAMPLES)
+                first, keep = first_shingles(hashes, counts, levels, similarity)
+                ends = np.cumsum(keep)
                 size = 8 * PARTS
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column("doc_id"), "same": pa.array(same, pa.binary()),
                     "wide": pa.array([wide[i : i + size] for i in range(0, len(wide), size)], pa.binary()),
                     "anchors": pa.array([a.tolist() if n else [] for a, n in zip(homes, counts)], pa.list_(pa.int64())),
+                    "size": pa.array(counts, pa.int64()),
+                    "first": pa.array([first[b - n : b].tobytes() for b, n in zip(ends.tolist(), keep.tolist())], pa.binary()),
                 })
 
     return run
 
 
+def _sharing(buckets: int):
+    """Deals the first shingles of ``node, root, size, first`` out by shingle, as ``bucket, sent``."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2000):
+                part = batch.slice(k, 2000)
+                first = [np.frombuffer(x, np.uint64) for x in part.column("first").to_pylist()]
+                count = [len(x) for x in first]
+                token = np.concatenate(first)
+                own = [np.repeat(part.column(c).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), count) for c in ("node", "root", "size")]
+                bucket = (mixed(token) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                sent = np.stack([token, *own], 1)[order]
+                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                full = np.flatnonzero(np.diff(cuts))
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "sent": pa.array([sent[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary())})
+
+    return run
+
+
+def _apart(similarity: float):
+    """Pairs of one first shingle whose groups differ and whose sizes allow the similarity."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        data = np.frombuffer(b"".join(rows.column("sent").to_pylist()), np.int64).reshape(-1, 4)
+        data = data[np.lexsort((data[:, 3], data[:, 0]))]
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(data[:, 0]) != 0]))
+        mixed_up = np.minimum.reduceat(data[:, 2], starts) != np.maximum.reduceat(data[:, 2], starts)
+        data = data[np.repeat(mixed_up, np.diff([*starts, len(data)]))]  # shingles of a single group link nothing new
+        token, node, root, size = data.T
+        found, at, step = [np.zeros((0, 2), np.int64)], np.arange(len(data)), 1
+        while len(at):
+            at = at[at + step < len(data)]
+            at = at[(token[at] == token[at + step]) & (size[at] + 1e-9 >= similarity * size[at + step])]  # by size: none further on either
+            on = at[root[at] != root[at + step]]
+            found.append(np.stack([node[on], node[on + step]], 1))
+            step += 1
+        pairs = np.sort(np.concatenate(found), axis=1)
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        pairs = pairs[np.concatenate([np.ones(min(1, len(pairs)), bool), (np.diff(pairs, axis=0) != 0).any(1)])]
+        return pa.table({"u": pa.array(pairs[:, 1]), "v": pa.array(pairs[:, 0])})
+
+    return run
+
+
+def _passed_over(grouped: DataFrame, similarity: float) -> DataFrame:
+    """``u, v``: all pairs of different groups that can be similar, from ``node, root, size, first``."""
+    buckets = fan_out(grouped.sparkSession)
+    dealt = grouped.where("size > 0").mapInArrow(_sharing(buckets), "bucket int, sent binary")
+    return staged(dealt.groupBy("bucket").applyInArrow(_apart(similarity), "u long, v long").distinct(), "near-passed-over")
+
+
 def most_bits(similarity: float) -> int:
     """Differing bits of wide prints that texts of that similarity stay within, by 3.5 deviations."""
     p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
@@ -231,10 +332,19 @@ def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bloc
     no rows; other columns are ignored. ``blocks`` is the covering code's: its anchors.
     """
     texts = texts_of(docs, id_col, text_col)
-    prints = staged(texts.mapInArrow(_printed(shingle, blocks), "doc_id long, same binary, wide binary, anchors array<long>"), "near-prints")
-    nodes = staged(prints.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("wide").alias("wide"), F.first("anchors").alias("anchors")), "near-nodes")
+    printed = _printed(shingle, blocks, common_levels(texts, shingle), similarity)
+    prints = staged(texts.mapInArrow(printed, "doc_id long, same binary, wide binary, anchors array<long>, size long, first binary"), "near-prints")
+    one = [F.first(c).alias(c) for c in ("wide", "anchors", "size", "first")]
+    nodes = staged(prints.groupBy("same").agg(F.min("doc_id").alias("node"), *one), "near-nodes")
     roots = components(_verified(_candidates(nodes, similarity), texts, shingle, similarity))
-    named = staged(nodes.join(roots.hint("merge"), "node", "left").select("same", F.coalesce("root", "node").alias("component_id")), "near-named")
+    grouped = staged(nodes.join(roots.hint("merge"), "node", "left").select("node", "same", F.coalesce("root", "node").alias("root")), "near-grouped")
+    rest = _passed_over(grouped.join(nodes.select("node", "size", "first").hint("merge"), "node").select("node", "root", "size", "first"), similarity)
+    more = _verified(rest, texts, shingle, similarity)
+    own = grouped.select("node", "root")
+    for end in ("u", "v"):  # groups as nodes
+        more = more.join(own.withColumnRenamed("node", end).hint("merge"), end).drop(end).withColumnRenamed("root", f"{end}_root")
+    last = components(more.select(F.col("u_root").alias("u"), F.col("v_root").alias("v"))).select(F.col("node").alias("root"), F.col("root").alias("last"))
+    named = staged(grouped.join(last.hint("merge"), "root", "left").select("same", F.coalesce("last", "root").alias("component_id")), "near-named")
     return prints.select("doc_id", "same").join(named.hint("merge"), "same").select("doc_id", "component_id")
 
 

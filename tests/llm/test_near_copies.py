@@ -80,6 +80,15 @@ def test_closest_links_span_what_is_near():
     assert {(min(u, v), max(u, v)) for u, v in zip(us, vs)} == {(a, b) for b in range(20) for a in range(b // 4 * 4, b)}
 
 
+def test_what_samples_pass_over_is_linked(spark):
+    """Of texts of five shingles and their first four, one in eighty has no sample in common."""
+    words = [[f"w{i}x{k}" for k in range(9)] for i in range(600)]
+    texts = [" ".join(w[: 9 - j]) for w in words for j in (0, 1)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_groups(docs).collect()}
+    assert got == {i: i // 2 * 2 for i in range(len(texts))}
+
+
 def test_empty(empty):
     assert near_copies.near_groups(empty).count() == 0
     assert near_copies.keep_one_of_each(empty).count() == 0
