@@ -53,9 +53,10 @@ def cut_points(ids: np.ndarray, offs: np.ndarray, bits: int, longest: int) -> np
     codes = mixed(ids.astype(np.uint64) + np.uint64(1))
     cuts = [offs]
     if len(ids) > ROLL:
-        h = np.zeros(len(ids) - ROLL + 1, np.uint64)
-        for k in range(ROLL):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : len(ids) - ROLL + 1 + k]
+        h, factor, width = codes, 0x9E3779B97F4A7C15, 1
+        while width < ROLL:  # a power of two: windows of twice the width from two beside each other
+            h = h[:-width] * np.uint64(factor) + h[width:]
+            factor, width = factor * factor % 2**64, 2 * width
         ends = np.flatnonzero(mixed(h) & np.uint64((1 << bits) - 1) == 0) + ROLL
         cuts.append(ends[ends - offs[np.searchsorted(offs, ends, "left") - 1] >= ROLL])
     cuts = np.unique(np.concatenate(cuts))
