@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import LARGE_ROWS
 from ..sources.shared import kept as staged
+from ..sources.shared import kept_tidily as staged_tidily
 from ..sources.shared import shared_dir
 
 WORD_SPLIT = r"[\x20\x09-\x0D]+"

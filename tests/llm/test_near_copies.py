@@ -89,6 +89,57 @@ def test_what_samples_pass_over_is_linked(spark):
     assert got == {i: i // 2 * 2 for i in range(len(texts))}
 
 
+def test_parities_never_exceed_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    pool = rng.integers(0, 2**64, 4000, dtype=np.uint64)
+    sets = [np.sort(rng.choice(pool, n, replace=False)) for n in (0, 1, 2, 64, 65, 70, 500, 520, 900, 1100, 3000)]
+    sets += [s[: len(s) * 9 // 10] for s in sets]
+    bits = near_copies.parities(np.concatenate(sets), np.array([len(s) for s in sets]))
+    assert all(8 * len(b) >= max(64, len(s)) and len(b) & (len(b) - 1) == 0 for b, s in zip(bits, sets))
+    for x, a in zip(sets, bits):
+        for y, b in zip(sets, bits):
+            assert near_copies.least_difference(a, b) <= len(np.setxor1d(x, y))
+    assert near_copies.least_difference(bits[6], bits[7]) > (len(sets[6]) + len(sets[7])) / 9  # texts of 500 shingles don't meet
+
+
+def test_possible_links_are_all_that_parities_allow():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**64, 1100, dtype=np.uint64)
+    sets = [np.sort(np.concatenate([base[: n - n // k], rng.integers(0, 2**64, n // k, dtype=np.uint64)])) for n in (3, 50, 60, 64, 66, 75, 1000, 1024, 1030, 1100) for k in (5, 12, 20)]
+    size, root = np.array([len(x) for x in sets]), np.arange(len(sets)) // 2
+    bits = near_copies.parities(np.concatenate(sets), size)
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if root[i] != root[j] and min(size[i], size[j]) >= 0.8 * max(size[i], size[j]) and near_copies.least_difference(bits[i], bits[j]) <= (size[i] + size[j]) / 9}
+    us, vs = near_copies.possible_links(root, size, bits, 0.8)
+    assert len(us) == len(want) > 20 and {(min(u, v), max(u, v)) for u, v in zip(us.tolist(), vs.tolist())} == want
+    alike = {(i, j) for i, j in want if near_copies.similar(sets[i], sets[j], 0.8)}
+    assert alike == {(i, j) for j in range(len(sets)) for i in range(j) if root[i] != root[j] and near_copies.similar(sets[i], sets[j], 0.8)}
+
+
+def test_disk_of_a_run_is_freed_as_it_goes(spark, tmp_path, monkeypatch):
+    """Neither shuffle files of ended steps stay nor do texts or sets of all pairs become tables."""
+    import random
+
+    from kerbline.sources import shared
+
+    rng = random.Random(4)
+    common = [" ".join(f"c{rng.randrange(10**6)}" for _ in range(9)) for _ in range(30)]
+    texts = ["\n".join([*rng.sample(common, 12), " ".join(f"u{rng.randrange(10**6)}" for _ in range(150))]) for _ in range(300)]
+    root = least_of_group(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(shared, "shared_dir", lambda _: str(tmp_path))
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_groups(docs).collect()}
+    assert got == dict(enumerate(root))
+    tables = {p.name.rpartition("-")[0] for p in tmp_path.iterdir()}
+    assert "near-passed-over" in tables and "near-sets" not in tables
+    rows = {k: sum(spark.read.parquet(str(p)).count() for p in tmp_path.glob(f"{k}-*")) for k in ("near-shared", "near-passed-over")}
+    assert rows["near-shared"] > 100 and rows["near-passed-over"] < 20  # nearly all pairs of texts have a line in common
+    assert spark.conf.get(shared._TIDY) == "false"
+
+
 def test_empty(empty):
     assert near_copies.near_groups(empty).count() == 0
     assert near_copies.keep_one_of_each(empty).count() == 0
