@@ -119,8 +119,8 @@ def test_possible_links_are_all_that_parities_allow():
     assert alike == {(i, j) for j in range(len(sets)) for i in range(j) if root[i] != root[j] and near_copies.similar(sets[i], sets[j], 0.8)}
 
 
-def test_disk_of_a_run_is_freed_as_it_goes(spark, tmp_path, monkeypatch):
-    """Neither shuffle files of ended steps stay nor do texts or sets of all pairs become tables."""
+def test_texts_that_share_lines_make_no_rows_of_pairs(spark, tmp_path, monkeypatch):
+    """Nor do sets become tables; the session's setting for shuffle files is as before."""
     import random
 
     from kerbline.sources import shared
