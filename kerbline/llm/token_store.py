@@ -35,11 +35,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import fan_out, mixed, shared_dir, slices, staged, texts_of
-from .token_ids import encoded, largest_id
+from .token_ids import encoded_column, largest_id
 
 ROLL = 16
 #: Ids that a task gathers before it deals them out, and ids of one stored pack.
 GATHER_IDS, PACK_IDS = 8 << 20, 1 << 20
+#: Text encoded at once: the more, the fewer times a word is looked up.
+ENCODE_BYTES = 2 << 20
 _PACK = "bucket int, chunk_digests binary, chunk_lengths binary, data binary"
 _CUT = f"doc_id long, n_tokens long, digests array<binary>, lengths array<int>, {_PACK}"
 _PACK_ARROW = pa.schema([("bucket", pa.int32()), ("chunk_digests", pa.binary()), ("chunk_lengths", pa.binary()), ("data", pa.binary())])
@@ -154,10 +156,8 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2
             return pa.RecordBatch.from_arrays([*(pa.nulls(len(dealt), f.type) for f in list(_CUT_ARROW)[:4]), *cols], schema=_CUT_ARROW)
 
         for batch in batches:
-            for part in slices(batch):
-                blobs = encoded(tokenizer_path, part.column("text").to_pylist(), end_id)
-                ids = np.frombuffer(b"".join(blobs), "<u4")
-                offs = np.concatenate([[0], np.cumsum([len(b) // 4 for b in blobs])]).astype(np.int64)
+            for part in slices(batch, ENCODE_BYTES):
+                ids, offs = encoded_column(tokenizer_path, part.column("text"), end_id)
                 cuts = cut_points(ids, offs, bits, longest)
                 raw, small = ids.tobytes(), ids.astype(f"<u{size}").tobytes()
                 digests = []

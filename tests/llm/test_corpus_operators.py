@@ -8,12 +8,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import plain_versions as plain
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from kerbline.llm import components, mixing, ngram_model, packing, permutation_index, quality_rules, secret_scan, simhash_dedup, substring_dedup, token_store, toxicity
+from kerbline.llm import components, mixing, ngram_model, packing, permutation_index, quality_rules, secret_scan, simhash_dedup, substring_dedup, token_ids, token_store, toxicity
 from kerbline.llm.queries import word_vocabulary
 
 
@@ -279,6 +280,32 @@ def test_wide_ids_and_roots(spark, docs, library, tmp_path):
         assert token_store.merkle_root(iter(leaves)) == plain_root(leaves)
 
 
+def test_ids_of_columns(library):
+    rng = np.random.default_rng(3)
+    odd = ["a", "b", "The", "É", "ß", "ÿ", "ſ", "İ", "\u212a", "H\u0331", "e\u0301", "I\u0307", "ﬁ", "日本", "7", "42", ",", "...", "'s", "'LL", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "×", "÷", "µ", "_", "\0"]
+    gaps = [" ", "  ", "\t", "\n", "\x0b", "\x0c", "\r\n", "\x1c", "\x85", "\xa0", "\u180e", "\u200b", "\u2028", "\u3000", "\ufeff"]
+    texts = ["", " ", *("".join(rng.choice(odd + gaps * 2 if k % 2 else odd + gaps[:2] * 6) for _ in range(k % 40)) for k in range(2000))]
+    column = pa.array(["left out", *texts]).slice(1)
+    ids, offs = token_ids.encoded_column(word_vocabulary(), column, 2)
+    for text, a, b in zip(texts, offs[:-1], offs[1:]):
+        assert ids[a:b].tobytes() == plain_ids(library, text), text
+    none, at = token_ids.encoded_column(word_vocabulary(), column.slice(0, 0), 2)
+    assert len(none) == 0 and at.tolist() == [0]
+
+
+def test_words_of_a_column_are_looked_up_once(library, monkeypatch):
+    """Even if hardly any are remembered, and whatever their case and marks."""
+    monkeypatch.setattr(token_ids, "CACHE_WORDS", 1)
+    tok, asked = token_ids.WordTokenizer(word_vocabulary()), []
+    tokenize = tok.tokenize
+    tok.tokenize = lambda word: asked.append(word) or tokenize(word)
+    monkeypatch.setitem(token_ids._loaded, word_vocabulary(), tok)
+    texts = ["Stone river, stone; WALK", "river walk walk. stone", "River! (stone) river"]
+    ids, offs = token_ids.encoded_column(word_vocabulary(), pa.array(texts), 2)
+    assert ids.tobytes() == b"".join(plain_ids(library, t) for t in texts)
+    assert sorted(asked) == ["river", "stone", "walk"]
+
+
 def test_crc_of_parts():
     parts = [b"abcd" * n for n in (1, 5, 300, 2)]
     total = 0
