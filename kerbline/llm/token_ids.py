@@ -108,15 +108,12 @@ class WordTokenizer:
 
     def _each(self, words: pa.Array, make: Callable[[str], bytes]) -> pa.Array:
         """The ids of distinct words, known or made."""
-        out = []
-        for w in words.to_numpy(zero_copy_only=False).tolist():
-            ids = self.young.get(w)
-            if ids is None:
-                ids = self.old.get(w)
-                if ids is None:
-                    ids = make(w)
-                self._keep(w, ids)
-            out.append(ids)
+        words = words.to_numpy(zero_copy_only=False).tolist()
+        out = list(map(self.young.get, words))
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            ids = self.old.get(words[i])
+            out[i] = make(words[i]) if ids is None else ids
+            self._keep(words[i], out[i])
         return pa.array(out, pa.large_binary())
 
     def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

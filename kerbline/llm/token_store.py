@@ -41,7 +41,7 @@ ROLL = 16
 #: Ids that a task gathers before it deals them out, and ids of one stored pack.
 GATHER_IDS, PACK_IDS = 8 << 20, 1 << 20
 #: Text encoded at once: the more, the fewer times a word is looked up.
-ENCODE_BYTES = 2 << 20
+ENCODE_BYTES = 4 << 20
 _PACK = "bucket int, chunk_digests binary, chunk_lengths binary, data binary"
 _CUT = f"doc_id long, n_tokens long, digests array<binary>, lengths array<int>, {_PACK}"
 _PACK_ARROW = pa.schema([("bucket", pa.int32()), ("chunk_digests", pa.binary()), ("chunk_lengths", pa.binary()), ("data", pa.binary())])
@@ -143,6 +143,16 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2
     size = 2 if largest_id(tokenizer_path, end_id) < 1 << 16 else 4
     buckets = fan_out(docs.sparkSession)
 
+    def coded(batch):
+        """Slices of a batch, the ids of each and the offsets of its rows."""
+        for together in slices(batch, ENCODE_BYTES):
+            ids, offs = encoded_column(tokenizer_path, together.column("text"), end_id)
+            row = 0
+            for part in slices(together):
+                at = offs[row : row + part.num_rows + 1]
+                yield part, ids[at[0] : at[-1]], at - at[0]
+                row += part.num_rows
+
     def cut(batches):
         """Rows of two kinds: recipes of documents, and packs of the task's distinct chunks."""
         fresh: dict[bytes, bytes] = {}
@@ -156,8 +166,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2
             return pa.RecordBatch.from_arrays([*(pa.nulls(len(dealt), f.type) for f in list(_CUT_ARROW)[:4]), *cols], schema=_CUT_ARROW)
 
         for batch in batches:
-            for part in slices(batch, ENCODE_BYTES):
-                ids, offs = encoded_column(tokenizer_path, part.column("text"), end_id)
+            for part, ids, offs in coded(batch):
                 cuts = cut_points(ids, offs, bits, longest)
                 raw, small = ids.tobytes(), ids.astype(f"<u{size}").tobytes()
                 digests = []
