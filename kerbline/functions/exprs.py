@@ -40,6 +40,13 @@ def half_even(x: Column, digits: int = 0) -> Column:
     return F.rint(x * scale) / scale if digits else F.rint(x)
 
 
+def half_away(x: Column, digits: int) -> Column:
+    """Rounding of the number times a power of ten, halves away from zero. ``F.round`` rounds the
+    shortest text of a number instead: 257.8227535, which lies below that half, goes up there."""
+    scaled = F.round(x * 10.0**digits) / 10.0**digits
+    return F.when(F.abs(x) < 1e300, scaled).otherwise(x)
+
+
 def let(value: Column, use) -> Column:
     """``use(value)`` with the value computed once, however often it is used."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -81,7 +81,7 @@ def unsmoothed(trail: Trail, elapsed: float, percent: float) -> float | None:
     """Seconds left at the speed since the start, mixed with that of the recent samples."""
     if percent >= 100:
         return 0.0
-    first = bisect_left(trail.times, elapsed - RECENT_SECONDS) % max(len(trail.times), 1)
+    first = bisect_left(trail.times, -RECENT_SECONDS, key=lambda t: t - elapsed) % max(len(trail.times), 1)
     if len(trail.times) < 2 or elapsed < 4 or percent < 0.5:
         return None
     seconds, rise = elapsed - trail.times[first], percent - trail.parts[first]
@@ -96,7 +96,7 @@ def told(trail: Trail, elapsed: float, percent: float) -> tuple[Trail, float | N
     """The trail with its smoothed value after a sample, and what is shown: none while unknown."""
     new = unsmoothed(trail, elapsed, percent)
     if new is not None and trail.eta is not None and percent < 100:
-        new = trail.eta + (0.35 if new > trail.eta else 0.18) * (new - trail.eta)  # slowing down counts more
+        new = 0.35 * new + 0.65 * trail.eta if new > trail.eta else 0.18 * new + 0.82 * trail.eta  # slowing down counts more
     return (trail if new is None else trail._replace(eta=new)), new
 
 

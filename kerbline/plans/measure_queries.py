@@ -360,7 +360,7 @@ def eta_pauses(spark, sf):
     elapsed = (F.col("us") - F.min("us").over(whole)) / 3.6e9 - F.when(F.col("event_id") % 10 == 0, 5.0).otherwise(0.0)
     top = F.max("value").over(whole)
     s = ev.select(F.col("user_id").alias("run"), i.alias("i"), elapsed.alias("elapsed"), F.when(top > 0, F.col("value") / top * 100.0).otherwise(0.0).alias("percent"))
-    return P.remaining_shown(s, 10.0).select("run", "i", "tick", F.round("elapsed", 6).alias("elapsed"), F.round("eta", 4).alias("eta"))
+    return P.remaining_shown(s, 10.0).select("run", "i", "tick", E.half_away(F.col("elapsed"), 6).alias("elapsed"), E.half_away(F.col("eta"), 4).alias("eta"))
 
 
 @query(

@@ -1,5 +1,7 @@
 """Every query that SQL can express gives DuckDB's rows; the others have their columns."""
 
+from datetime import datetime, timedelta
+
 import duckdb
 import pytest
 
@@ -30,6 +32,18 @@ def test_same_as_sql(spark, duck, sf_dir, name):
     assert as_rows(got.collect(), [got.columns.index(c) for c in names]) == as_rows(want.fetchall(), [want.columns.index(c) for c in names])
 
 
+def test_pauses_round_as_sql_does(spark, tmp_path):
+    start, us = datetime(2024, 1, 1), [0, 928161912600, 928161916200, 1912432665000]  # the second is 257.8227535 s
+    rows = [(k + 1, start + timedelta(microseconds=t), 1, 1.0 + k) for k, t in enumerate(us)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.sql(catalogue.ORACLE["eta_pauses"])
+    got = catalogue.QUERIES["eta_pauses"](spark, str(tmp_path)).select(*want.columns)
+    assert as_rows(got.collect(), range(5)) == as_rows(want.fetchall(), range(5))
+    assert any(r["elapsed"] == 257.822753 for r in got.collect())
+
+
 def test_stream_and_batch_agree(spark, sf_dir):
     both = [{(r["run"], r["i"]): r["eta"] for r in catalogue.QUERIES[n](spark, sf_dir).collect()} for n in ("eta_batch", "eta_stream")]
     assert both[0] == both[1] and both[0]
