@@ -11,21 +11,27 @@ rows for every query, so blocks and query groups are independent tasks of bounde
 from __future__ import annotations
 
 import math
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import LARGE_ROWS, staged
+from .common import shared_dir
 
 BLOCK_ROWS = 8192
 QUERY_ROWS = 512
 _FOUND = "query_id long, rank int, vec_id long, score double"
 _BLOCK = "block long, ids binary, vectors binary, rows binary, places binary, cuts binary"
+_GROUP = "query_ids binary, turns binary, queries binary"
 
 
 def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -87,45 +93,114 @@ def _blocks(pivots: np.ndarray, listed: int):
 
 def _groups(batches):
     """Queries in groups of bounded size."""
-    task, n = TaskContext.get().partitionId() << 32, 0
     for b in batches:
         for k in range(0, b.num_rows, QUERY_ROWS):
             part = b.slice(k, QUERY_ROWS)
             x = _vectors(part.column("vector"))[0]
-            yield pa.RecordBatch.from_pydict({"group": [task + n], "query_ids": [part.column("vec_id").to_numpy(zero_copy_only=False).tobytes()], "turns": [part.column("turn").to_numpy(zero_copy_only=False).tobytes()], "queries": [x.tobytes()]})
-            n += 1
+            yield pa.RecordBatch.from_pydict({"query_ids": [part.column("vec_id").to_numpy(zero_copy_only=False).tobytes()], "turns": [part.column("turn").to_numpy(zero_copy_only=False).tobytes()], "queries": [x.tobytes()]})
+
+
+def staged(rows: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], name: str, schema: str) -> DataFrame:
+    """What ``make`` gives for the batches of ``rows``, as Parquet files that the workers write to
+    the shared folder, a row group a batch. Its rows of megabytes don't pass through the JVM,
+    which gets the name of a file from each task; a file of a failed task isn't named."""
+    spark, base = rows.sparkSession, shared_dir(rows.sparkSession)
+    uri = base if "://" in base else "file://" + base.removeprefix("file:")
+    folder = f"{uri}/{name}-{uuid.uuid4().hex}"
+    fs, where = pafs.FileSystem.from_uri(folder)
+    fs.create_dir(where)
+
+    def write(batches):
+        made = make(batches)
+        first = next(made, None)
+        if first is None:
+            return
+        file = f"{folder}/{uuid.uuid4().hex}.parquet"
+        fs, where = pafs.FileSystem.from_uri(file)
+        with fs.open_output_stream(where) as out, pq.ParquetWriter(out, first.schema, compression="zstd", use_dictionary=False, write_statistics=False) as to:
+            for batch in chain([first], made):
+                to.write_table(pa.Table.from_batches([batch]))
+        yield pa.RecordBatch.from_pydict({"file": [file]})
+
+    files = [r["file"] for r in rows.mapInArrow(write, "file string").collect()]
+    return spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
+
+
+def _opened(uri: str) -> pq.ParquetFile:
+    fs, where = pafs.FileSystem.from_uri(uri)
+    return pq.ParquetFile(fs.open_input_file(where))
+
+
+def _row_groups(batches):
+    """``file, row_group``: the parts of some Parquet files."""
+    for batch in batches:
+        for file in batch.column("file").to_pylist():
+            n = _opened(file).num_row_groups
+            yield pa.RecordBatch.from_pydict({"file": pa.array([file] * n, pa.string()), "row_group": pa.array(range(n), pa.int32())})
+
+
+def _rows(uri: str, row_groups: Iterable[int] | None = None) -> Iterator[dict]:
+    """Rows of a file in the shared folder, one row group held at a time."""
+    file = _opened(uri)
+    for k in range(file.num_row_groups) if row_groups is None else row_groups:
+        yield from file.read_row_group(k).to_pylist()
+
+
+class _Block:
+    """A block of the index; ``places`` has for each pivot the place of each row's, ``n_listed``
+    where the row doesn't list it."""
+
+    def __init__(self, r: dict, pivots: int):
+        self.ids = np.frombuffer(r["ids"], np.int64)
+        self.x = np.frombuffer(r["vectors"]).reshape(len(self.ids), -1)
+        self.norms = np.sqrt((self.x * self.x).sum(1))
+        rows, cuts = np.frombuffer(r["rows"], np.int32), np.frombuffer(r["cuts"], np.int64)
+        self.n_listed = len(rows) // len(self.ids)
+        self.places = np.full((pivots, len(self.ids)), self.n_listed, np.uint16 if self.n_listed**2 < 1 << 16 else np.int64)
+        self.places[np.repeat(np.arange(pivots), np.diff(cuts)), rows] = np.frombuffer(r["places"], np.int32)
+
+    def nearer(self, order: np.ndarray) -> np.ndarray:
+        """How far the footrule distance of each row to a query falls below that of lists
+        without a common pivot, halved: for a common pivot what its later place leaves."""
+        later = np.maximum(self.places[order], np.arange(len(order), dtype=self.places.dtype)[:, None])
+        return len(order) * self.n_listed - later.sum(0, dtype=self.places.dtype).astype(np.int64)
+
+    def search(self, order: np.ndarray, query: np.ndarray, query_id: int, k: int, take: int) -> tuple[np.ndarray, np.ndarray]:
+        ids, found = self.ids, np.arange(len(self.ids))
+        if take < len(ids):
+            nearer = self.nearer(order)
+            edge = -np.partition(-nearer, take - 1)[take - 1]
+            sure, tied = np.flatnonzero(nearer > edge), np.flatnonzero(nearer == edge)
+            tied = tied[np.argsort(ids[tied], kind="stable")][: take - len(sure)]
+            found = np.concatenate([sure, tied])
+        found = found[ids[found] != query_id]
+        score = (self.x[found] * query).sum(1) / (self.norms[found] * np.sqrt((query * query).sum()))
+        best = np.lexsort((ids[found], -score))[:k]
+        return ids[found[best]], score[best]
+
+
+def _search(queries: list[str], pivots: np.ndarray, listed: int, k: int, share: float, least: int):
+    """Every query against the blocks of some row groups. Blocks and queries are read from the
+    shared folder by the worker, so rows of megabytes don't pass through the JVM."""
+
+    def of(block: _Block, r: dict) -> pa.RecordBatch:
+        qids, turns = np.frombuffer(r["query_ids"], np.int64), np.frombuffer(r["turns"], np.int64)
+        q = np.frombuffer(r["queries"]).reshape(len(qids), -1)
+        _, unit = _vectors(pa.FixedSizeListArray.from_arrays(pa.array(q.ravel()), q.shape[1]))
+        take = max(least, math.ceil(share * len(block.ids)))
+        got = [block.search(*a, k, take) for a in zip(orders(unit, pivots, listed), q, qids)]
+        row = np.repeat(np.arange(len(got)), [len(v) for v, _ in got])
+        ids, scores = (np.concatenate([g[c] for g in got]) for c in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (qids[row], turns[row], ids, scores)], names=["query_id", "turn", "vec_id", "score"])
 
-
-def _search(pivots: np.ndarray, listed: int, k: int, share: float, least: int):
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                ids, qids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["query_ids"], np.int64)
-                turns = np.frombuffer(r["turns"], np.int64)
-                x, q = np.frombuffer(r["vectors"]).reshape(len(ids), -1), np.frombuffer(r["queries"]).reshape(len(qids), -1)
-                rows, places, cuts = (np.frombuffer(r[c], t) for c, t in (("rows", np.int32), ("places", np.int32), ("cuts", np.int64)))
-                n_listed = len(rows) // len(ids)
-                _, unit = _vectors(pa.FixedSizeListArray.from_arrays(pa.array(q.ravel()), q.shape[1]))
-                norms = np.sqrt((x * x).sum(1))
-                out = []
-                take = max(least, math.ceil(share * len(ids)))
-                for i, order in enumerate(orders(unit, pivots, listed)):
-                    spans = [slice(cuts[p], cuts[p + 1]) for p in order]
-                    gain = np.concatenate([2 * n_listed - j - places[s] - np.abs(j - places[s]) for j, s in enumerate(spans)])
-                    nearer = np.bincount(np.concatenate([rows[s] for s in spans]), gain, len(ids))
-                    if take < len(ids):
-                        edge = -np.partition(-nearer, take - 1)[take - 1]
-                        sure, tied = np.flatnonzero(nearer > edge), np.flatnonzero(nearer == edge)
-                        tied = tied[np.argsort(ids[tied], kind="stable")][: take - len(sure)]
-                        found = np.concatenate([sure, tied])
-                    else:
-                        found = np.arange(len(ids))
-                    found = found[ids[found] != qids[i]]
-                    score = (x[found] * q[i]).sum(1) / (norms[found] * np.sqrt((q[i] * q[i]).sum()))
-                    best = np.lexsort((ids[found], -score))[:k]
-                    out += [(qids[i], turns[i], ids[found[j]], score[j]) for j in best]
-                cols = list(zip(*out)) or [(), (), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "turn", "vec_id", "score"])
+            for place in batch.to_pylist():
+                for r in _rows(place["file"], [place["row_group"]]):
+                    block = _Block(r, len(pivots))
+                    for file in queries:
+                        for group in _rows(file):
+                            yield of(block, group)
 
     return run
 
@@ -165,12 +240,13 @@ def nearest(
 def _nearest(rows: DataFrame, asked: DataFrame, k: int, pivots: int, listed: int, share: float, least: int, seed: int) -> DataFrame:
     """The search among vectors of one length."""
     points = pivots_of(rows, pivots, seed)
-    index = staged(rows.mapInArrow(_blocks(points, listed), _BLOCK), "permutation-index", LARGE_ROWS)
+    index = staged(rows, _blocks(points, listed), "permutation-index", _BLOCK)
     # each group of queries meets each block: a stated query set against all rows, in blocks
     once = asked.dropDuplicates(["vec_id", "vector"]).withColumn("turn", F.xxhash64("vector")).sortWithinPartitions("vec_id", "vector")
-    groups = once.mapInArrow(_groups, "group long, query_ids binary, turns binary, queries binary")
-    numbers = index.agg(F.collect_list("block").alias("b"))  # 8 bytes for each BLOCK_ROWS vectors
-    met = groups.select("*", F.explode(numbers.scalar()).alias("block")).join(index, "block")
-    found = met.mapInArrow(_search(points, listed, k, share, least), "query_id long, turn long, vec_id long, score double")
+    groups = staged(once, _groups, "permutation-queries", _GROUP)
+    spark = rows.sparkSession
+    files = spark.createDataFrame([(f,) for f in index.inputFiles()], "file string")
+    parts = files.mapInArrow(_row_groups, "file string, row_group int").repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    found = parts.mapInArrow(_search(list(groups.inputFiles()), points, listed, k, share, least), "query_id long, turn long, vec_id long, score double")
     w = Window.partitionBy("query_id", "turn").orderBy(F.desc("score"), "vec_id")
     return found.select("query_id", F.row_number().over(w).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

@@ -473,6 +473,14 @@ def test_index_is_read_a_few_blocks_at_once(spark, monkeypatch):
     assert sum(sizes) >= 8 and max(sizes) <= 2
 
 
+def test_blocks_stay_out_of_the_jvm(spark):
+    """Workers write and read them; a join of blocks and queries held rows of megabytes."""
+    x = F.array(*[F.rand(k) for k in range(8)])
+    table = spark.range(300).select(F.col("id").alias("vec_id"), x.alias("embedding"))
+    found = permutation_index.nearest(table, table.where("vec_id < 3"))
+    assert "Join" not in found._jdf.queryExecution().toString() and found.count() == 15
+
+
 def test_repeated_queries_lose_no_place(spark):
     x = np.random.default_rng(1).normal(size=(400, 8))
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
