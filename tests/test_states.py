@@ -3,6 +3,7 @@
 import datetime as dt
 import time
 
+import pandas as pd
 import pytest
 
 from kerbline.operators import stores
@@ -108,3 +109,68 @@ def test_timers_tell_remaining_time_between_samples(spark, tmp_path):
     beyond = set(got) - set(want)  # after the last sample of a run, up to the watermark
     assert all(run == "b" and n == 3 and elapsed < 75 for run, n, _, elapsed, _ in beyond)
     assert ("b", 2, 1) in {r[:3] for r in want}
+
+
+class Kept:
+    """The state of one key, without a stream."""
+
+    def __init__(self, value=None, now=0):
+        self.value, self.now, self.timeout = value, now, None
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+    hasTimedOut = False  # noqa: N815
+
+    def getCurrentProcessingTimeMs(self):  # noqa: N802
+        return self.now
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutDuration(self, ms):  # noqa: N802
+        self.timeout = ms
+
+
+def test_a_key_that_nobody_asks_for_gives_no_frame():
+    told = pd.DataFrame({"k": [7, 7], "us": [20, 10], "number": [2, 1], "status": [2, 1]})
+    state = Kept(now=5)
+    assert list(states._cache(["k"], 100)((7,), iter([told[:1], told[1:]]), state)) == []
+    assert state.value == (20, 2, 2, 5) and state.timeout == 100_000
+
+
+def test_workers_get_numbers_and_no_timestamps(spark, tmp_path):
+    spark.createDataFrame([(1, at(0), 1, 2)], ROWS).write.parquet(str(tmp_path / "rows"))
+    plan = states.answered_stream(spark.readStream.schema(ROWS).parquet(str(tmp_path / "rows")), ["k"])
+    asked = plan._jdf.queryExecution().analyzed().children().head().children().head().output()
+    assert [asked.apply(i).dataType().simpleString() for i in range(asked.size())].count("timestamp") == 0
+    assert plan.schema.simpleString() == "struct<k:int,at:timestamp,number:bigint,state:string>"
+
+
+def test_odd_rows_of_a_stream(spark, tmp_path):
+    drops = Drops(spark, tmp_path, ROWS, lambda s: states.answered_stream(s, ["k"], 100), once=True)
+    drops.put(
+        [(1, at(0), 1, 1), (1, at(0), 1, 2), (1, at(1), 2, None), (1, at(1), 2, None)]  # two statuses of one place; a question twice
+        + [(None, at(0), 3, 1), (None, at(1), None, None), (None, at(1), 4, None)]  # no key, no number
+        + [(2, None, 5, None), (2, None, 6, 1), (2, None, 6, None), (2, at(3), 7, None)]  # no time: before all others
+        + [(3, at(0), 8, 7), (3, at(1), 9, None)]  # a status that isn't known
+    )
+    t = lambda n: at(n)
+    want = [(1, t(1), 2, "missing")] * 2 + [(None, t(1), None, "ok"), (None, t(1), 4, "ok"), (2, None, 5, "absent"), (2, None, 6, "ok"), (2, t(3), 7, "ok"), (3, t(1), 9, "absent")]
+    assert drops.got() == sorted(want, key=str)
+
+
+def test_hours_that_clocks_show_twice_stay_in_order(spark, tmp_path):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    utc = lambda h, m: dt.datetime(2024, 11, 3, h, m, tzinfo=dt.UTC)
+    rows = [(1, utc(5, 30), 1, 2), (1, utc(6, 10), 2, None), (1, utc(6, 40), 3, None)]
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        drops = Drops(spark, tmp_path, ROWS, lambda s: states.answered_stream(s, ["k"], 3600), once=True)
+        drops.put(rows)
+        got = spark.read.schema(drops.shape).parquet(drops.out).selectExpr("unix_timestamp(at)", "number", "state").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert sorted(map(tuple, got)) == [(int(rows[1][1].timestamp()), 2, "missing"), (int(rows[2][1].timestamp()), 3, "absent")]
