@@ -127,11 +127,15 @@ def crosswalk_floor(estimates: DataFrame, least_m: float = 3.5, pixel_m: float =
 
 
 def shift_clusters(shifts: DataFrame, key: str, radius: float = 12.0, far: float = 240.0, step: float = 10.0, length_weight: float = 0.001) -> DataFrame:
-    """Clusters of shifts (dx, dy, dot, distance) on a grid, with medians and a seed score."""
+    """Clusters of shifts (dx, dy, dot, distance) on a grid, with medians and a seed score.
+
+    A cell's ``dx`` are sent as one flat list and its ``dy`` as another, 8 bytes each. Both keep
+    the order of the rows, as the shifts of one cell have both numbers or all lack the same one.
+    """
     cell = [F.rint(F.col("dx") / radius).cast("int").alias("kx"), F.rint(F.col("dy") / radius).cast("int").alias("ky")]
-    groups = shifts.select("*", *cell).groupBy(key, "kx", "ky").agg(F.count("*").alias("n"), F.avg("dot").alias("dot"), F.avg("distance").alias("distance"), F.collect_list(F.struct("dx", "dy")).alias("s"))
-    groups = groups.withColumns({m: E.middle(F.array_sort(F.transform("s", lambda p: p[d]))) for m, d in (("mx", "dx"), ("my", "dy"))})  # noqa: B023
-    away = F.array_sort(F.transform("s", lambda p: F.sqrt(F.pow(p["dx"] - F.col("mx"), F.lit(2.0)) + F.pow(p["dy"] - F.col("my"), F.lit(2.0)))))
+    groups = shifts.select("*", *cell).groupBy(key, "kx", "ky").agg(F.count("*").alias("n"), F.avg("dot").alias("dot"), F.avg("distance").alias("distance"), F.collect_list("dx").alias("xs"), F.collect_list("dy").alias("ys"))
+    groups = groups.withColumns({m: E.middle(F.array_sort(s)) for m, s in (("mx", "xs"), ("my", "ys"))})
+    away = F.array_sort(F.zip_with("xs", "ys", lambda x, y: F.sqrt(F.pow(x - F.col("mx"), F.lit(2.0)) + F.pow(y - F.col("my"), F.lit(2.0)))))
     rows = groups.select(key, "kx", "ky", "mx", "my", "n", "dot", "distance", E.middle(away).alias("std"), F.hypot("mx", "my").alias("length"))
     seed = F.col("n") * 2.0 + F.col("dot") * 5.0 - F.col("distance") / max(far, 1) - length_weight * F.col("length") - 0.05 * F.col("std") / max(step, 1)
     return rows.withColumn("seed", seed)

@@ -150,3 +150,38 @@ def test_late_samples_are_ignored(spark):
 def test_argmax_takes_the_first_of_equals(spark):
     rows = spark.createDataFrame([(1, 0, 0, [1.0] * 64)], "vec_id long, x long, y long, logits array<double>")
     assert {r["class"] for r in measures.pixel_classes(rows).collect()} == {0}
+
+
+SHIFTS = "k string, dx double, dy double, dot double, distance double"
+
+
+def test_shifts_of_a_cell_are_sent_as_plain_numbers(spark):
+    plan = measures.shift_clusters(spark.createDataFrame([], SHIFTS), "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(dx" in plan and "collect_list(dy" in plan and "struct" not in plan
+
+
+def test_shift_clusters_of_odd_rows(spark):
+    rows = [
+        ("a", 13.0, 1.0, 1.0, 3.0), ("a", 7.0, 5.0, 0.5, None), ("a", 13.0, 1.0, None, 6.0),  # the same shift twice
+        ("a", 13.0, 40.0, 1.0, 1.0), ("a", 14.0, 43.0, 1.0, 1.0),  # cells of one
+        (None, 1.0, 2.0, 0.8, 5.0),
+        ("b", None, 3.0, 0.9, 1.0), ("b", None, 4.0, 0.9, 1.0), ("b", 3.0, None, 0.9, 1.0), ("b", None, None, 0.9, 1.0),
+    ]
+    shifts = spark.createDataFrame(rows, SHIFTS)
+    got = {(r["k"], r["kx"], r["ky"]): r for r in measures.shift_clusters(shifts.repartition(5), "k").collect()}
+    assert {c: (r["n"], r["mx"], r["my"], r["std"]) for c, r in got.items()} == {
+        ("a", 1, 0): (3, 13.0, 1.0, 0.0),
+        ("a", 1, 3): (1, 13.0, 40.0, 0.0),
+        ("a", 1, 4): (1, 14.0, 43.0, 0.0),
+        (None, 0, 0): (1, 1.0, 2.0, 0.0),
+        ("b", None, 0): (2, None, 3.5, None),
+        ("b", 0, None): (1, 3.0, None, None),
+        ("b", None, None): (1, None, None, None),
+    }
+    assert got["a", 1, 0]["seed"] == pytest.approx(6 + 0.75 * 5 - 4.5 / 240 - 0.001 * math.hypot(13, 1))
+    assert got["b", None, 0]["seed"] is None and got["b", None, 0]["dot"] == 0.9
+    some = spark.createDataFrame([("a", x, y, 1.0, 1.0) for x, y in ((0.0, 0.0), (1.0, 4.0), (4.0, 0.0), (5.0, 3.0))], SHIFTS)
+    (r,) = measures.shift_clusters(some, "k").collect()
+    away = sorted(math.hypot(x - 2.5, y - 1.5) for x, y in ((0, 0), (1, 4), (4, 0), (5, 3)))
+    assert (r["mx"], r["my"]) == (2.5, 1.5) and r["std"] == pytest.approx((away[1] + away[2]) / 2)
+    assert measures.shift_clusters(shifts.limit(0), "k").count() == 0
