@@ -134,9 +134,11 @@ def shift_clusters(shifts: DataFrame, key: str, radius: float = 12.0, far: float
     """
     cell = [F.rint(F.col("dx") / radius).cast("int").alias("kx"), F.rint(F.col("dy") / radius).cast("int").alias("ky")]
     groups = shifts.select("*", *cell).groupBy(key, "kx", "ky").agg(F.count("*").alias("n"), F.avg("dot").alias("dot"), F.avg("distance").alias("distance"), F.collect_list("dx").alias("xs"), F.collect_list("dy").alias("ys"))
-    groups = groups.withColumns({m: E.middle(F.array_sort(s)) for m, s in (("mx", "xs"), ("my", "ys"))})
-    away = F.array_sort(F.zip_with("xs", "ys", lambda x, y: F.sqrt(F.pow(x - F.col("mx"), F.lit(2.0)) + F.pow(y - F.col("my"), F.lit(2.0)))))
-    rows = groups.select(key, "kx", "ky", "mx", "my", "n", "dot", "distance", E.middle(away).alias("std"), F.hypot("mx", "my").alias("length"))
+    ordered = groups.withColumns({"in_x": F.sort_array("xs"), "in_y": F.sort_array("ys")})
+    mids = ordered.withColumns({"mx": E.middle(F.col("in_x")), "my": E.middle(F.col("in_y"))})
+    away = F.zip_with("xs", "ys", lambda x, y: F.sqrt(F.pow(x - F.col("mx"), F.lit(2.0)) + F.pow(y - F.col("my"), F.lit(2.0))))
+    spread = mids.withColumn("away", F.sort_array(F.array_compact(away)))
+    rows = spread.select(key, "kx", "ky", "mx", "my", "n", "dot", "distance", E.middle(F.col("away")).alias("std"), F.hypot("mx", "my").alias("length"))
     seed = F.col("n") * 2.0 + F.col("dot") * 5.0 - F.col("distance") / max(far, 1) - length_weight * F.col("length") - 0.05 * F.col("std") / max(step, 1)
     return rows.withColumn("seed", seed)
 

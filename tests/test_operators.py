@@ -160,6 +160,11 @@ def test_shifts_of_a_cell_are_sent_as_plain_numbers(spark):
     assert "collect_list(dx" in plan and "collect_list(dy" in plan and "struct" not in plan
 
 
+def test_each_list_of_a_cell_is_sorted_once_and_without_a_comparator(spark):
+    plan = measures.shift_clusters(spark.createDataFrame([], SHIFTS), "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sort_array(") == 3 and "array_sort(" not in plan
+
+
 def test_shift_clusters_of_odd_rows(spark):
     rows = [
         ("a", 13.0, 1.0, 1.0, 3.0), ("a", 7.0, 5.0, 0.5, None), ("a", 13.0, 1.0, None, 6.0),  # the same shift twice
